@@ -51,7 +51,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame: for files, their size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def partitions_for(df: DataFrame, bytes_each: int, times: float = 1.0) -> int:
@@ -116,18 +116,36 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def forest(left: np.ndarray, right: np.ndarray) -> dict[int, int]:
-    """Union-find over pairs: each linked item with the smallest item of its set."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        p, q = find(a), find(b)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-    return {x: find(x) for x in list(root)}
+def linked_sets(linked: np.ndarray) -> list[np.ndarray]:
+    """Connected sets of two or more rows of a symmetric boolean matrix."""
+    out, todo = [], linked.any(1)
+    while todo.any():
+        reached = np.zeros(len(linked), bool)
+        front = np.flatnonzero(todo)[:1]
+        reached[front] = True
+        while len(front):
+            fresh = linked[front].any(0) & ~reached
+            reached |= fresh
+            front = np.flatnonzero(fresh)
+        out.append(np.flatnonzero(reached))
+        todo &= ~reached
+    return out
+
+
+def deal_in_blocks(rows: DataFrame, key: str, item: str, cap: int) -> DataFrame:
+    """Deal the rows of each ``key`` into cells of at most about ``2 * cap`` rows that together hold every pair.
+
+    A key with no more than ``cap`` rows is one cell; a larger one is cut into
+    blocks by a hash of ``item`` and has a cell for each pair of blocks.  Keys with
+    one row are left out: they have no pair.  Adds ``cell`` (a hash), ``side`` (0 or
+    1: the row's block in the cell) and ``within`` (whether the cell is one block).
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_of_key")).where("n_of_key > 1")
+    sized = rows.join(sizes, key).withColumn("n_blocks", F.ceil(F.col("n_of_key") / cap)).withColumn("own", F.expr(f"pmod(xxhash64({item}), n_blocks)"))
+    spread = sized.withColumn("other", F.explode(F.expr("sequence(0L, n_blocks - 1)")))
+    return (
+        spread.withColumn("cell", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))
+        .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+        .withColumn("within", F.col("own") == F.col("other"))
+        .drop("n_of_key", "n_blocks", "own", "other")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, tokens, urls
+from . import near, packing, quality, substrings, tokens, urls, vectors
 from .common import arrow_rows, table
 
 #: (verdict, host, path) of the URL rules.
@@ -18,6 +18,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    return substrings.remove_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_rows(spark)
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -32,16 +37,29 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    return near.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_url_filters": op8_url_filters,
+    "op9_near_vectors": op9_near_vectors,
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
