@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near, packing, quality, substrings, tokens, urls, vectors
+from . import languages, near, packing, quality, secrets, substrings, tokens, urls, vectors
 from .common import arrow_rows, table
 
 #: (verdict, host, path) of the URL rules.
@@ -28,6 +28,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -52,14 +57,22 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    docs = table(spark, sf_dir, "documents")
+    return languages.identify(docs, languages.train(docs))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_url_filters": op8_url_filters,
     "op9_near_vectors": op9_near_vectors,
+    "op10_language_id": op10_language_id,
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
