@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +30,51 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Sequences that one task can number.
 TASK_SEQUENCES = 1 << 36
 
-_WIDE = re.compile(r"\s | \s")
+_WIDE = re.compile(r"\s | \s|\A\s|\s\Z")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
 
-def leading_space_chunks(text: str) -> list[str]:
-    """Cut before each single space between two other characters.
+def id_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return np.asarray(ids, "<u4").tobytes()
 
-    The byte-level pattern joins such a space to what follows and no token spans
-    the cut, so the chunks' ids in a row are the text's ids.
+
+class SpacedMemo(Memo):
+    """Ids of words that follow a space, the space included.
+
+    Words are encoded joined: in this vocabulary the first token of a word after
+    a space, and no other, begins with a space.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path, id_bytes)
+        vocabulary = self.tokenizer.get_vocab(True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def encode(self, chunks: list[str]) -> Iterable[tuple[str, object]]:
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        at, data = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
+        return zip(chunks, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True)
+
+
+class TextIds:
+    """Ids of whole texts, from the ids of their chunks.
+
+    A text is cut before each single space between two other characters.  The
+    byte-level pattern joins such a space to what follows and no token spans the
+    cut, so the chunks' ids in a row are the text's ids.
     """
-    if text[:1] == " " or text[-1:] == " " or _WIDE.search(text):
-        return _CUTS.split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
+
+    def __init__(self, path: str) -> None:
+        self.spaced, self.exact = SpacedMemo(path), Memo(path, id_bytes)
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        plain = [_WIDE.search(t) is None for t in texts]
+        split = [t.split(" ") if even else _CUTS.split(t) for t, even in zip(texts, plain, strict=True)]
+        exact = self.exact.learn({c for p, even in zip(split, plain, strict=True) for c in (p[:1] if even else p)})
+        spaced = self.spaced.learn(set().union(*(p[1:] for p, even in zip(split, plain, strict=True) if even)))
+        return [exact[p[0]] + b"".join(map(spaced.__getitem__, p[1:])) if even else b"".join(map(exact.__getitem__, p)) for p, even in zip(split, plain, strict=True)]
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[list[list[int]], int]:
@@ -89,13 +120,19 @@ def differencing(sizes: list[int], windows: int) -> tuple[list[list[int]], int]:
 
 
 def near_equal_windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """The fewest windows, counted up from the least possible, that hold all items."""
-    windows = max(1, -(-sum(sizes) // capacity))
+    """Deal items into windows, more of them as long as the largest exceeds the capacity.
+
+    The count starts from the least possible and rises by what the largest
+    window's distance from the mean asks for, by one at least.
+    """
+    total = sum(sizes)
+    windows = max(1, -(-total // capacity))
     while True:
         dealt, largest = differencing(sizes, windows)
         if largest <= capacity:
             return dealt
-        windows += 1
+        room = max(1, capacity - (largest - total // windows))
+        windows = max(windows + 1, -(-total // room))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, grain: int = 256, group: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +145,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(tokenizer_path, lambda ids: np.asarray(ids, "<u4").tobytes())
+        encoder = TextIds(tokenizer_path)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) * TASK_SEQUENCES
         end = np.asarray([end_id], "<u4").tobytes()
@@ -133,10 +170,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
             for texts in byte_balanced(batch.column(1).to_pylist()):
-                chunks = [leading_space_chunks(t) if t else [] for t in texts]
-                table = memo.learn(set().union(*chunks))
-                for parts, doc in zip(chunks, names):  # noqa: B905  chunks end first
-                    ids = b"".join([*map(table.__getitem__, parts), end])
+                for ids, doc in zip(encoder.of(texts), names):  # noqa: B905  the texts of a group end first
+                    ids += end
                     total = len(ids) // 4
                     for start in range(0, total - total % capacity, capacity):
                         rows.append((doc, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), total, number, 0))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one call of the tokenizer gets.
 BATCH_BYTES = 1 << 20
 #: Chunks whose result a task remembers, and the longest such chunk.
-MEMO_CHUNKS, MEMO_CHARS = 200_000, 64
+MEMO_CHUNKS, MEMO_CHARS = 250_000, 64
 
 
 def load(path: str):
@@ -44,20 +44,27 @@ def byte_balanced(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[li
 
 
 class Memo:
-    """Results by chunk, encoded in balanced batches, forgotten when too many."""
+    """Results by chunk, encoded in balanced batches; when too many, those not in use are forgotten."""
 
     def __init__(self, path: str, result) -> None:
-        self.tokenizer, self.result, self.known = load(path), result, {}
+        self.tokenizer, self.result = load(path), result
+        self.known: dict = {}
+
+    def encode(self, chunks: list[str]) -> Iterable[tuple[str, object]]:
+        """Each chunk with its result."""
+        return zip(chunks, [self.result(x.ids) for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)], strict=True)
 
     def learn(self, chunks: set[str]) -> dict:
         """A table that covers ``chunks``."""
         if len(self.known) > MEMO_CHUNKS:
-            self.known = {}
-        known, long = self.known, {}
-        for group in byte_balanced(c for c in chunks if c not in known):
-            for chunk, encoded in zip(group, self.tokenizer.encode_batch(group, add_special_tokens=False), strict=True):
-                (known if len(chunk) <= MEMO_CHARS else long)[chunk] = self.result(encoded.ids)
-        return known | long if long else known
+            self.known = {c: self.known[c] for c in chunks & self.known.keys()}
+        long: dict = {}
+        fresh = chunks - self.known.keys()
+        for group in byte_balanced([c for c in fresh if len(c) <= MEMO_CHARS]):
+            self.known.update(self.encode(group))
+        for group in byte_balanced([c for c in fresh if len(c) > MEMO_CHARS]):
+            long.update(self.encode(group))
+        return self.known | long if long else self.known
 
 
 def spaced_chunks(text: str) -> list[str]:
