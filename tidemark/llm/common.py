@@ -132,16 +132,17 @@ def linked_sets(linked: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def deal_in_blocks(rows: DataFrame, key: str, item: str, cap: int) -> DataFrame:
+def deal_in_blocks(rows: DataFrame, key: str, item: str, cap: int, size: str = "1", size_cap: int | None = None) -> DataFrame:
     """Deal the rows of each ``key`` into cells of at most about ``2 * cap`` rows that together hold every pair.
 
-    A key with no more than ``cap`` rows is one cell; a larger one is cut into
+    ``size_cap`` bounds the sum of ``size`` likewise.  A key within the bounds is one cell; a larger one is cut into
     blocks by a hash of ``item`` and has a cell for each pair of blocks.  Keys with
     one row are left out: they have no pair.  Adds ``cell`` (a hash), ``side`` (0 or
     1: the row's block in the cell) and ``within`` (whether the cell is one block).
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_of_key")).where("n_of_key > 1")
-    sized = rows.join(sizes, key).withColumn("n_blocks", F.ceil(F.col("n_of_key") / cap)).withColumn("own", F.expr(f"pmod(xxhash64({item}), n_blocks)"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / cap), F.ceil(F.sum(F.expr(size)) / (size_cap or cap)))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_of_key"), F.least(blocks, F.count(F.lit(1))).alias("n_blocks")).where("n_of_key > 1")
+    sized = rows.join(sizes, key).withColumn("own", F.expr(f"pmod(xxhash64({item}), n_blocks)"))
     spread = sized.withColumn("other", F.explode(F.expr("sequence(0L, n_blocks - 1)")))
     return (
         spread.withColumn("cell", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))

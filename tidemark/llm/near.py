@@ -33,8 +33,8 @@ COORDINATES = 64
 TARGET_RECALL = 0.995
 #: How often a node may be split, and the sets from which on it is.
 SPLITS, NODE_ROWS = 2, 512
-#: Sets of a candidate group whose texts one task compares.
-GROUP_ROWS = 128
+#: Sets and words of a candidate group that one block has; two blocks are compared at once.
+GROUP_ROWS, GROUP_WORDS = 128, 150_000
 
 
 def runs_needed(threshold: float, recall: float = TARGET_RECALL) -> int:
@@ -47,8 +47,8 @@ def least_equal(threshold: float) -> int:
     return math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, hasher: WordHasher, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of adjoining texts: all shingles, the text of each, and two hashes of each text's words.
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, hasher: WordHasher, k: int) -> tuple[np.ndarray, ...]:
+    """Of adjoining texts: all shingles, the text of each, two hashes of each text's words and their number.
 
     A text of fewer than ``k`` words, but some, has its whole as one shingle.
     """
@@ -73,7 +73,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, hasher: WordHasher, k: in
         shingles, texts = np.concatenate([shingles, digests[0][short]]), np.concatenate([texts, short])
         order = np.argsort(texts, kind="stable")
         shingles, texts = shingles[order], texts[order]
-    return shingles, texts, digests[0], digests[1]
+    return shingles, texts, digests[0], digests[1], counts
 
 
 def _embedded(k: int, runs: int):
@@ -86,7 +86,7 @@ def _embedded(k: int, runs: int):
             data, bounds = texts_of(batch.column(1))
             for lo, hi in stretches(bounds):
                 n = hi - lo
-                shingles, texts, d1, d2 = shingle_sets(data, bounds[lo : hi + 1], hasher, k)
+                shingles, texts, d1, d2, counts = shingle_sets(data, bounds[lo : hi + 1], hasher, k)
                 least = np.zeros((COORDINATES, n), np.uint64)
                 has = np.flatnonzero(np.bincount(texts, minlength=n))
                 at = np.searchsorted(texts, has)
@@ -109,7 +109,7 @@ def _embedded(k: int, runs: int):
                 inner = pa.ListArray.from_arrays(pa.array(np.arange(0, n * runs * (SPLITS + 1) + 1, SPLITS + 1, dtype=np.int32)), flat)
                 outer = pa.ListArray.from_arrays(pa.array(np.arange(0, n * runs + 1, runs, dtype=np.int32)), inner)
                 sketches = pa.array([None if e else s.tobytes() for e, s in zip(empty, sketch, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), outer, sketches], names=["doc_id", "d1", "d2", "nodes", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(counts), outer, sketches], names=["doc_id", "d1", "d2", "words", "nodes", "sketch"])
 
     return run
 
@@ -175,7 +175,7 @@ def _verified(k: int, threshold: float):
             for chunk in cell.column("text").chunks:
                 data, bounds = texts_of(chunk)
                 for lo, hi in stretches(bounds):
-                    s, t, _, _ = shingle_sets(data, bounds[lo : hi + 1], hasher, k)
+                    s, t, *_ = shingle_sets(data, bounds[lo : hi + 1], hasher, k)
                     shingles.append(s)
                     texts.append(t + at)
                     at += hi - lo
@@ -216,10 +216,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     runs = runs_needed(threshold)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    embedded = written(rows.mapInArrow(_embedded(k, runs), "doc_id long, d1 long, d2 long, nodes array<array<long>>, sketch binary"))
+    embedded = written(rows.mapInArrow(_embedded(k, runs), "doc_id long, d1 long, d2 long, words long, nodes array<array<long>>, sketch binary"))
 
     known = embedded.where("doc_id is not null and sketch is not null")
-    copies = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    copies = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("words").alias("words"))
     sets = known.join(copies.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "nodes", "sketch").dropDuplicates(["rep"])
     node = sets.select("rep", "sketch", F.explode("nodes").alias("node")).select("rep", "sketch", *(F.col("node")[i].alias(f"k{i}") for i in range(SPLITS + 1)))
     node = node.withColumn("key", F.col("k0"))
@@ -232,8 +232,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     found = cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_compared(least_equal(threshold)), "a long, b long")
     groups = components(found)
 
-    members = groups.join(copies.withColumnRenamed("rep", "node"), "node").select("node", "component", "weight")
-    members = deal_in_blocks(members, "component", "node", GROUP_ROWS)
+    members = groups.join(copies.withColumnRenamed("rep", "node"), "node").select("node", "component", "weight", "words")
+    members = deal_in_blocks(members, "component", "node", GROUP_ROWS, "words", GROUP_WORDS)
     # A representative's text is read once and sent to the cells of its group.
     texts = rows.where("doc_id is not null").join(members.groupBy("node").agg(F.collect_list(F.struct("cell", "side", "within", "weight")).alias("cells")), F.col("doc_id") == F.col("node"))
     texts = texts.select("node", "text", F.explode("cells").alias("c")).select("c.cell", "c.side", "c.within", F.col("node").alias("rep"), "c.weight", "text")
