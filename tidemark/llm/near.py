@@ -246,3 +246,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     linked = linked.select("d1", "d2", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     told = embedded.select("doc_id", "d1", "d2", (F.col("doc_id").isNotNull() & F.col("sketch").isNotNull()).alias("has")).join(linked, ["d1", "d2"], "left")
     return told.select("doc_id", F.when(F.col("has"), F.col("class")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("has"), F.col("links")).otherwise(0).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of the first document of each class.
+
+    Rows with a null id stay.  Rows that repeat an id are one document: the
+    first stays with all its rows.
+    """
+    classes = jaccard_classes(docs, k, threshold, id_col, text_col)
+    others = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("other_id")).distinct()
+    return docs.join(others, F.col(id_col) == F.col("other_id"), "left_anti")

@@ -53,15 +53,9 @@ def repeated_words(words: str) -> str:
     return let(f"sort_array({windows})", "s", let(f"sort_array(transform({twice}, x -> x.p))", "p", covered))
 
 
-def quality_rules(docs: DataFrame, thresholds=THRESHOLDS, stop_words=STOP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Figures and verdict of every row: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
-
-    ``n_stop_words`` and ``n_lines`` (lines with a word) follow.  A null or empty
-    text has no words and fails.  Windows of three words are compared by a
-    64-bit hash within one text.  Repeated rows and null ids give a row each;
-    other columns are ignored; no rows give no rows.
-    """
-    text = "coalesce(" + text_col + ", '')"
+def _judged(docs: DataFrame, thresholds, stop_words, text_col: str) -> DataFrame:
+    """``row`` (the columns of ``docs``) with the figures and the verdict of its text."""
+    text = f"coalesce(row.`{text_col}`, '')"
     spaces = " \\t\\n\\u000b\\u000c\\r"
     stops = ", ".join("'" + w.replace("'", "\\'") + "'" for w in stop_words)
     lines = f"filter(split({text}, '\\n', -1), l -> translate(l, '{spaces}', '') <> '')"
@@ -69,15 +63,15 @@ def quality_rules(docs: DataFrame, thresholds=THRESHOLDS, stop_words=STOP_WORDS,
         words_of(text), "w", f"struct(size(w) as n_words, {repeated_words('w')} as n_repeat_words, size(filter(w, x -> x in ({stops}))) as n_stop_words)"
     )
     by_line = let(lines, "l", "struct(size(l) as n_lines, size(array_distinct(l)) as n_distinct)")
-    figures = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+    figures = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select(
+        "row",
         F.expr(by_word).alias("by_word"),
         F.expr(by_line).alias("by_line"),
         F.expr(f"length(translate({text}, '{spaces}', ''))").alias("word_chars"),
         F.expr(f"length({text}) - length(translate({text}, '#*$%&|<>', ''))").alias("n_symbols"),
     )
     figures = figures.select(
-        "doc_id",
+        "row",
         *(F.col(c).cast("long").alias(n) for n, c in (
             ("n_words", "by_word.n_words"), ("word_chars", "word_chars"), ("n_symbols", "n_symbols"), ("n_repeat_words", "by_word.n_repeat_words"),
             ("n_stop_words", "by_word.n_stop_words"), ("n_lines", "by_line.n_lines"),
@@ -93,6 +87,21 @@ def quality_rules(docs: DataFrame, thresholds=THRESHOLDS, stop_words=STOP_WORDS,
             passes = passes & (share >= low)
         if high is not None:
             passes = passes & (share <= high)
-    return figures.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passes).alias("kept"), "n_stop_words", "n_lines"
-    )
+    return figures.withColumn("base_failed", failed).withColumn("kept", ~failed & passes)
+
+
+def quality_rules(docs: DataFrame, thresholds=THRESHOLDS, stop_words=STOP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Figures and verdict of every row: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
+
+    ``n_stop_words`` and ``n_lines`` (lines with a word) follow.  A null or empty
+    text has no words and fails.  Windows of three words are compared by a
+    64-bit hash within one text.  Repeated rows and null ids give a row each;
+    other columns are ignored; no rows give no rows.
+    """
+    judged = _judged(docs.select(id_col, text_col), thresholds, stop_words, text_col)
+    return judged.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines")
+
+
+def passing(docs: DataFrame, thresholds=THRESHOLDS, stop_words=STOP_WORDS, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text passes the rules; null texts do not."""
+    return _judged(docs, thresholds, stop_words, text_col).where("kept").select("row.*")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import languages, near, packing, quality, secrets, substrings, tokens, urls, vectors
+from . import languages, mixing, near, packing, quality, secrets, substrings, tokens, urls, vectors
 from .common import arrow_rows, table
 
 #: (verdict, host, path) of the URL rules.
@@ -37,6 +38,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train(docs, mixing.domain_labels(table(spark, sf_dir, "labels")))
+    rated = mixing.rated(docs, model, {"clean": 0.85, "low": 0.1, "toxic": 0.05}, keep=["doc_id"])
+    posteriors = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(model.domains)]
+    return rated.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", *posteriors, "rate", "copies")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_rows(spark)
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -68,6 +77,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_url_filters": op8_url_filters,
