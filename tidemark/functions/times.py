@@ -68,5 +68,5 @@ def rfc3339(ns: Column) -> Column:
     """UTC text of nanoseconds, fraction without trailing zeros."""
     seconds = F.floor(ns / F.lit(10**9).cast("decimal(20,0)")).cast("bigint")
     base = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.rtrim(F.lit("0"), F.lpad((ns - seconds * 10**9).cast("string"), 9, "0"))
+    fraction = F.rtrim(F.lpad((ns - seconds * 10**9).cast("string"), 9, "0"), F.lit("0"))
     return F.concat(base, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)), F.lit("Z"))
