@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .tokens import byte_balanced
 
 #: First code point of each range and its script; letters elsewhere have script 0.
 SCRIPTS = [
@@ -48,7 +49,7 @@ class Grams:
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Buckets, the word of each, each word's script, and its number of letters."""
-        letters = ["".join(c for c in w.lower() if c.isalpha()) for w in words]
+        letters = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in map(str.lower, words)]
         counts = np.asarray([len(x) for x in letters], np.int64)
         codes = np.frombuffer("".join(f"\x01{x}\x02" for x in letters).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         of = np.repeat(np.arange(len(words)), counts + 2)
@@ -230,14 +231,16 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             return out
 
         for batch in batches:
-            for doc, held_back, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                chunks = text.split() if languages else []
-                fresh = list(set(chunks) - memo.keys())
-                if fresh:
-                    learn(fresh)
-                held.append(np.fromiter(map(memo.__getitem__, chunks), np.int64, len(chunks)))
-                waiting.append((doc, held_back))
-                count += len(chunks)
+            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for texts in byte_balanced(batch.column(2).to_pylist()):
+                split = [text.split() if languages else [] for text in texts]
+                fresh = [c for c in set().union(*split) if c not in memo]
+                for lo in range(0, len(fresh), 16384):
+                    learn(fresh[lo : lo + 16384])
+                for chunks, name in zip(split, names):  # noqa: B905  the texts of a group end first
+                    held.append(np.asarray(list(map(memo.__getitem__, chunks)), np.int64))
+                    waiting.append(name)
+                    count += len(chunks)
                 if count > PASS_WORDS:
                     yield flush()
         if waiting:
