@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +50,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame: for files, their size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, kept on the executors' disks once computed and computed again where one is lost.
 
+    For frames that are read twice within a query: unlike a written table it
+    leaves no files in the shared folder, but it keeps its lineage.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes that a frame reads: Catalyst's sizes of its sources, or its texts' bytes where a source has none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if total < 1 << 60:
+        return total
+    return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
-def partitions_for(df: DataFrame, bytes_each: int, times: float = 1.0) -> int:
+
+def partitions_for(df: DataFrame, text_col: str, bytes_each: int) -> int:
     """As many partitions as keep each near ``bytes_each``, and no fewer than the session asks for."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, int(input_bytes(df) * times / bytes_each) + 1)
+    return max(least, input_bytes(df, text_col) // bytes_each + 1)
+
+
+def join_apart(rows: DataFrame, grouped: DataFrame, key: str) -> DataFrame:
+    """Join rows to an aggregate over the same key so that a hot key's rows can be split over tasks.
+
+    Joined by the key itself, the aggregate's own exchange would serve both and
+    Spark could split neither; a hash beside the key gives both sides an exchange
+    of their own, and the hint one to whatever is aggregated next.
+    """
+    left, right = (x.withColumn("key_hash", F.xxhash64(key)) for x in (rows, grouped))
+    return left.join(right, ["key_hash", key]).drop("key_hash").hint("rebalance")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -65,7 +90,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: a hub's minimum comes from a
     pre-aggregated group, and its rows are only joined, never gathered.  Each
-    round is cut to the shared folder; only a count and a checksum reach the driver.
+    round is cut to the shared folder, until every node is linked to its root alone.
     No edges give no rows; self-loops and repeated edges change nothing.
     """
 
@@ -75,24 +100,25 @@ def components(edges: DataFrame) -> DataFrame:
         if not large:
             both = both.where("v < u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = both.join(least, "u")
+        moved = join_apart(both, least, "u")
         if large:
             return moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
         return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(own).where("a <> b").distinct()
 
-    def mark(pairs: DataFrame) -> tuple:
-        sums = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
-        return tuple(pairs.agg(F.count(F.lit(1)), sums).first())
-
-    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = mark(current)
-    while before[0]:
-        current = cut(star(star(current, True), False))
-        after = mark(current)
-        if after == before:
-            break
-        before = after
+    def settled(pairs: DataFrame) -> bool:
+        """Whether each node has one edge, to a node that has none."""
+        sides = F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up")))
+        ends = pairs.select(F.explode(sides).alias("e")).groupBy("e.n").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("all"))
+        return ends.where("up > 1 or (up = 1 and all > 1)").isEmpty()
+
+    def small(pairs: DataFrame) -> DataFrame:
+        """Edges are few beside what they link, and so are their files."""
+        return cut(pairs.coalesce(max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 12)))
+
+    current = small(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not settled(current):
+        current = small(star(star(current, True), False))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()
 
@@ -142,7 +168,7 @@ def deal_in_blocks(rows: DataFrame, key: str, item: str, cap: int, size: str = "
     """
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / cap), F.ceil(F.sum(F.expr(size)) / (size_cap or cap)))
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_of_key"), F.least(blocks, F.count(F.lit(1))).alias("n_blocks")).where("n_of_key > 1")
-    sized = rows.join(sizes, key).withColumn("own", F.expr(f"pmod(xxhash64({item}), n_blocks)"))
+    sized = join_apart(rows, sizes, key).withColumn("own", F.expr(f"pmod(xxhash64({item}), n_blocks)"))
     spread = sized.withColumn("other", F.explode(F.expr("sequence(0L, n_blocks - 1)")))
     return (
         spread.withColumn("cell", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))

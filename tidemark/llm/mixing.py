@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept, written
 from .quality import let, words_of
 from .secrets import _literal
 
@@ -76,15 +76,15 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     """
     labels = labelled.where("doc_id is not null and domain is not null").select(F.col("doc_id").alias("labelled_id"), "domain")
     n = labels.count()
-    sample = written(labels.where(F.expr("(xxhash64(labelled_id, 5L) & 1073741823L) / 1073741824D") * n < SAMPLE_LABELS))
+    sample = written(labels.where(F.expr("(xxhash64(labelled_id, 5L) & 1073741823L) / 1073741824D") * n < SAMPLE_LABELS).coalesce(1))
     rows = docs.join(sample, F.col(id_col) == F.col("labelled_id")).select("domain", F.expr(features(f"coalesce({text_col}, '')")).getField("seen").alias("w"))
-    rows = written(rows)
+    rows = kept(rows)
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains, total = sorted(sizes), sum(sizes.values())
     if not domains:
         return DomainModel([], [], [], [])
     counts = [F.sum((F.col("domain") == d).cast("long")).alias(f"c{k}") for k, d in enumerate(domains)]
-    seen = written(rows.select("domain", F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *counts))
+    seen = kept(rows.select("domain", F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *counts))
     chosen = {}
     for k, d in enumerate(domains):
         expected = F.col("n") * (sizes[d] / total)
@@ -154,9 +154,9 @@ def rated(docs: DataFrame, model: DomainModel, shares: dict[str, float], anchor:
     has no tokens and the posterior of a text without known words.  Null ids and
     repeated rows are rated like any other; without rows or labels rates are 1.
     """
-    kept = docs.columns if keep is None else keep
+    columns = docs.columns if keep is None else keep
     members = soft_members(docs, model, text_col)
-    members = written(members.withColumn("row", F.struct(*(F.col(f"row.`{c}`").alias(c) for c in kept))))
+    members = written(members.withColumn("row", F.struct(*(F.col(f"row.`{c}`").alias(c) for c in columns))))
     told = members.withColumn("rate", fitted_rate(fit_rates(members, model, shares, anchor)))
     near = F.abs(F.col("rate") - F.round("rate")) <= WHOLE
     chance = F.expr(f"(xxhash64(row.`{id_col}`, 9L) & 1073741823L) / 1073741824D")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_in_blocks, linked_sets, partitions_for, runs_of, written
+from .common import components, deal_in_blocks, kept, linked_sets, partitions_for, runs_of, written
 from .words import WordHasher, mixed, rolled, stretches, texts_of, words_in
 
 #: Coordinates of the embedding; the first of them start the runs.
@@ -213,22 +213,24 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     Repeated rows count as copies.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    runs = runs_needed(threshold)
+    runs, tasks = runs_needed(threshold), int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    embedded = written(rows.mapInArrow(_embedded(k, runs), "doc_id long, d1 long, d2 long, words long, nodes array<array<long>>, sketch binary"))
+    embedded = kept(rows.mapInArrow(_embedded(k, runs), "doc_id long, d1 long, d2 long, words long, nodes array<array<long>>, sketch binary"))
 
     known = embedded.where("doc_id is not null and sketch is not null")
-    copies = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("words").alias("words"))
-    sets = known.join(copies.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "nodes", "sketch").dropDuplicates(["rep"])
-    node = sets.select("rep", "sketch", F.explode("nodes").alias("node")).select("rep", "sketch", *(F.col("node")[i].alias(f"k{i}") for i in range(SPLITS + 1)))
+    # Documents with the same words have the same shingles, so any one's nodes and sketch serve.
+    same = [F.first(c).alias(c) for c in ("words", "nodes", "sketch")]
+    sets = kept(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), *same))
+    copies = sets.select("d1", "d2", "rep", "weight", "words")
+    node = sets.select("rep", F.explode("nodes").alias("node")).select("rep", *(F.col("node")[i].alias(f"k{i}") for i in range(SPLITS + 1)))
     node = node.withColumn("key", F.col("k0"))
     for depth in range(SPLITS):
-        # Only oversized nodes, of which there are few, are split further.
-        large = node.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE_ROWS).select(F.col("key").alias("large"))
+        # Oversized nodes are few; written, their size is known and decides how they are joined.
+        large = written(node.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE_ROWS).select(F.col("key").alias("large")).coalesce(max(1, tasks // 12)))
         node = node.join(large, F.col("key") == F.col("large"), "left").withColumn("key", F.when(F.col("large").isNotNull(), F.col(f"k{depth + 1}")).otherwise(F.col("key"))).drop("large")
-    cells = deal_in_blocks(node.select("key", "rep", "sketch"), "key", "rep", NODE_ROWS).select("cell", "rep", "sketch")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Most sets are alone in their nodes; only the others' sketches travel.
+    cells = deal_in_blocks(node.select("key", "rep"), "key", "rep", NODE_ROWS).select("cell", "rep").join(sets.select("rep", "sketch"), "rep").select("cell", "rep", "sketch")
     found = cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_compared(least_equal(threshold)), "a long, b long")
     groups = components(found)
 
@@ -237,8 +239,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     # A representative's text is read once and sent to the cells of its group.
     texts = rows.where("doc_id is not null").join(members.groupBy("node").agg(F.collect_list(F.struct("cell", "side", "within", "weight")).alias("cells")), F.col("doc_id") == F.col("node"))
     texts = texts.select("node", "text", F.explode("cells").alias("c")).select("c.cell", "c.side", "c.within", F.col("node").alias("rep"), "c.weight", "text")
-    dealt = texts.repartition(partitions_for(docs, 16 << 20), "cell").sortWithinPartitions("cell", "rep")
-    verified = written(dealt.mapInArrow(_verified(k, threshold), "node long, root long, links long"))
+    dealt = texts.repartition(partitions_for(docs, text_col, 16 << 20), "cell").sortWithinPartitions("cell", "rep")
+    verified = kept(dealt.mapInArrow(_verified(k, threshold), "node long, root long, links long"))
 
     classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))

@@ -170,7 +170,7 @@ def duplicate_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     Spans may overlap or touch.  Documents without any have no row.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = partitions_for(docs, BLOCK_BYTES)
+    blocks = partitions_for(docs, text_col, BLOCK_BYTES)
     tasks = max(1, blocks // 4)
     sent = rows.mapInArrow(_phrases(blocks, window), "block int, phrases binary, prints binary, known binary")
     dealt = sent.repartition(tasks, "block").sortWithinPartitions("block")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_in_blocks, linked_sets, runs_of, written
+from .common import components, deal_in_blocks, kept, linked_sets, runs_of
 
 TARGET_RECALL = 0.99
 #: Lines whose collisions are counted, and the half-width of a window in distances at the threshold.
@@ -155,7 +155,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     sound = "vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vector, x -> x <> 0)"
     rows = rows.withColumn("vector", F.when(F.expr(sound) & F.col("vec_id").isNotNull(), F.expr("transform(vector, x -> x + 0D)")))
-    copies = written(rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    copies = kept(rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
     lines, tables = table_plan(copies.count(), distance)
     dealt = copies.select("rep", "weight", "vector").mapInArrow(_dealt(lines, tables), "rep long, weight long, vector array<double>, keys array<long>")
     # Keys first: most are alone in their cell and their vectors need not travel.
@@ -163,7 +163,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     cells = deal_in_blocks(spread, "key", "rep", BLOCK_ROWS)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.select("cell", "side", "within", "rep", "weight", "vector", "keys", "t").repartition(tasks, "cell").sortWithinPartitions("cell")
-    verified = written(cells.mapInArrow(_verified(threshold, distance), "node long, root long, links long"))
+    verified = kept(cells.mapInArrow(_verified(threshold, distance), "node long, root long, links long"))
     classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     linked = copies.join(links, F.col("rep") == F.col("node"), "left").drop("node").join(classes, F.col("rep") == F.col("node"), "left")
