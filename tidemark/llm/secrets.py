@@ -24,11 +24,13 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 ]
-#: Runs that the models judge, their kind, and the least mean log ratio of a secret.
-RUN, KIND, MIN_RATIO = r"[A-Za-z0-9+/_=-]{16,}", "markov", 0.75
+#: Runs that the models judge, their kind, the least mean log ratio of a secret, and its least number of different characters.
+RUN, KIND, MIN_RATIO, MIN_DIFFERENT = r"[A-Za-z0-9+/_=-]{16,}", "markov", 2.0, 8
 #: Documents whose tokens are labelled ordinary or, inside base spans, random; and generated random strings.
 SAMPLE_DOCS, GENERATED = 2000, 2000
 CODES = 128
+#: What a character alone counts for beside the pairs seen after another.
+BACKING = 5.0
 
 
 def _literal(pattern: str) -> str:
@@ -76,8 +78,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ma
     """Fit both models on at most ``SAMPLE_DOCS`` documents (those of least id hash) and generated strings.
 
     Random: values of the base patterns, and encoded digests of counters.
-    Ordinary: the other token runs of four and more characters.  Each distinct
-    string counts once.  Without documents the generated strings still train.
+    Ordinary: the other token runs of four and more characters, and identifiers
+    made of the words among them (``WordWord``, ``word_word``, ``word-word``).  Each
+    distinct string counts once, and in it each pair of characters once.  Without
+    documents the generated strings still train.
     """
     spark = docs.sparkSession
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("chosen")).orderBy(F.xxhash64("chosen"), "chosen").limit(SAMPLE_DOCS).distinct()
@@ -89,16 +93,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ma
         plain = f"regexp_replace({plain}, {_literal(p)}, ' ')"
     random = texts.select(F.explode(F.expr(base)).alias("s"), F.lit(1).alias("random"))
     ordinary = texts.select(F.explode(F.expr(f"filter(regexp_extract_all({plain}, '[A-Za-z0-9+/_=-]{{4,}}', 0), x -> not x rlike '^[0-9a-f]{{24,}}$')")).alias("s"), F.lit(0).alias("random"))
+    word = "s rlike '^[A-Za-z]+$'"
+    joined = "array(s, if({0}, concat(initcap(s), initcap(s)), s), if({0}, concat(s, '_', s), s), if({0}, concat(s, '-', s), s))".format(word)
+    ordinary = ordinary.distinct().select(F.explode(F.expr(joined)).alias("s"), "random")
     digest = "sha2(cast(id as string), 256)"
     made = spark.range(GENERATED).selectExpr(f"explode(array({digest}, substr({digest}, 1, 18), base64(unhex({digest})), upper(substr(replace(base64(unhex({digest})), '/', ''), 1, 20)))) as s", "1 as random")
     strings = random.union(ordinary).union(made).distinct().where("length(s) > 1")
-    pairs = strings.select("random", "s", F.explode(F.expr("sequence(1, length(s) - 1)")).alias("i")).selectExpr("random", "ascii(substr(s, i, 1)) as a", "ascii(substr(s, i + 1, 1)) as b")
+    pairs = strings.select("random", F.explode(F.expr("array_distinct(transform(sequence(1, length(s) - 1), i -> substr(s, i, 2)))")).alias("p")).selectExpr("random", "ascii(p) as a", "ascii(substr(p, 2, 1)) as b")
     counts = {(r["random"], r["a"], r["b"]): r["n"] for r in pairs.where(f"a < {CODES} and b < {CODES}").groupBy("random", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = sorted({c for k in counts for c in k[1:]})
-    total = {(k, a): sum(counts.get((k, a, b), 0) for b in used) for k in (0, 1) for a in used}
+    after = {(k, a): sum(counts.get((k, a, b), 0) for b in used) for k in (0, 1) for a in used}
+    alone = {(k, b): sum(counts.get((k, a, b), 0) for a in used) for k in (0, 1) for b in used}
+    total = {k: sum(after[k, a] for a in used) for k in (0, 1)}
 
     def log_p(k: int, a: int, b: int) -> float:
-        return math.log((counts.get((k, a, b), 0) + 0.5) / (total.get((k, a), 0) + 0.5 * max(len(used), 1)))
+        # A pair is backed by how common its second character is, so one that a model hardly knows stays unlikely.
+        single = (alone[k, b] + 0.5) / (total[k] + 0.5 * len(used))
+        return math.log((counts.get((k, a, b), 0) + BACKING * single) / (after[k, a] + BACKING))
 
     return MarkovRatio(tuple(log_p(1, a, b) - log_p(0, a, b) if a in used and b in used else 0.0 for a in range(CODES) for b in range(CODES)))
 
@@ -107,7 +118,7 @@ def spans_of(model: MarkovRatio, text: str) -> str:
     """SQL for a struct of the arrays ``base`` and ``extra``; spans are structs of start, kind's rank, end and kind."""
     span = "transform({m}, x -> named_struct('s', x.s, 'k', {k}, 'e', x.e, 'kind', '{name}'))"
     base = "concat(" + ", ".join(span.format(m=matches(text, p, g, n), k=k, name=name) for k, (name, p, g, n) in enumerate(BASE)) + ")"
-    runs = f"filter({matches(text, RUN)}, x -> not exists(b, y -> y.s < x.e and x.s < y.e) and {model.column('x.v')} >= {MIN_RATIO})"
+    runs = f"filter({matches(text, RUN)}, x -> not exists(b, y -> y.s < x.e and x.s < y.e) and size(array_distinct(split(x.v, ''))) >= {MIN_DIFFERENT} and {model.column('x.v')} >= {MIN_RATIO})"
     return let(f"sort_array({base})", "b", f"named_struct('base', b, 'extra', {span.format(m=runs, k=len(BASE), name=KIND)})")
 
 
@@ -120,7 +131,7 @@ def scan(docs: DataFrame, model: MarkovRatio, id_col: str = "doc_id", text_col:
 
     A span is a whole match, ``kind:start:end`` in code points with the end
     exclusive; spans are ordered by start and then kind.  Runs that overlap a
-    base span are not judged.  A null or empty text has no spans.  Repeated rows
+    base span or have few different characters are not judged.  A null or empty text has no spans.  Repeated rows
     and null ids give a row each; other columns are ignored.
     """
     text = f"coalesce({text_col}, '')"
