@@ -88,6 +88,32 @@ QUERIES = {
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
 ORACLES = {
+    "op1_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        g AS (SELECT *, string_agg(word, ' ') OVER s AS g, count(*) OVER s AS n FROM p WINDOW s AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+        f AS (SELECT g, min(doc_id) AS f FROM g WHERE n = 13 GROUP BY g),
+        c AS (SELECT DISTINCT r, i + k AS i FROM (SELECT r, i FROM g JOIN f USING (g) WHERE n = 13 AND f < doc_id), range(13) t(k)),
+        k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM p ANTI JOIN c USING (r, i) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+        g AS (SELECT doc_id, n, string_agg(word, ' ') OVER s AS g, count(*) OVER s AS k FROM p WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+        s AS (SELECT DISTINCT doc_id, g FROM g WHERE k = least(5, n)),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS MATERIALIZED (SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 5 * x.n >= 4 * (ca.n + cb.n - x.n)),
+        t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a)
+        SELECT d.doc_id, least(d.doc_id, coalesce(m.m, d.doc_id)) AS class_id, coalesce(l.n, 0)::BIGINT AS n_links FROM d
+        LEFT JOIN (SELECT a, min(b) AS m FROM t GROUP BY a) m ON m.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) l ON l.a = d.doc_id""",
+    "op9_near_vectors": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+        s AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+        e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+        t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+        r AS (SELECT vec_id, coalesce(l.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m.m, vec_id)) AS component_id FROM v LEFT JOIN (SELECT a, min(b) AS m FROM t GROUP BY a) m ON m.a = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) l ON l.a = vec_id)
+        SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM r""",
     "op4_quality_rules": rf"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
         w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
