@@ -14,23 +14,27 @@ nothing and keeps at most one group of pieces in memory.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterable, Iterator
+from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Memo, byte_balanced
+from .tokens import Memo, byte_balanced, lasting
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequences that one task can number.
 TASK_SEQUENCES = 1 << 36
 
-_WIDE = re.compile(r"\s | \s|\A\s|\s\Z")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -43,7 +47,10 @@ class SpacedMemo(Memo):
     """Ids of words that follow a space, the space included.
 
     Words are encoded joined: in this vocabulary the first token of a word after
-    a space, and no other, begins with a space.
+    a space, and no other, begins with a space.  Plain words (Latin letters, then
+    perhaps punctuation) take a shorter way: the file's own merges, without the
+    general pattern; the library encodes the rest.  A chunk that is empty or has
+    white space at an end is no word and has None.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,11 +58,44 @@ class SpacedMemo(Memo):
         vocabulary = self.tokenizer.get_vocab(True)
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.plain = plain_encoder(self.tokenizer)
 
     def encode(self, chunks: list[str]) -> Iterable[tuple[str, object]]:
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        words = [c for c in chunks if c and not (c[0].isspace() or c[-1].isspace())]
+        plain = [c for c in words if is_plain(c)] if self.plain else []
+        rest = words if not plain else list(set(words).difference(plain))
+        found = dict.fromkeys(chunks) if len(words) < len(chunks) else {}
+        if plain:
+            found.update(self.cut(plain, np.asarray(self.plain.encode_to_numpy(" " + " ".join(plain)), "<u4")))
+        if rest:
+            found.update(self.cut(rest, np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(rest)], add_special_tokens=False)[0].ids, "<u4")))
+        return found
+
+    def cut(self, words: list[str], ids: np.ndarray) -> Iterable[tuple[str, bytes]]:
+        """Each word with its part of the ids of all."""
         at, data = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
-        return zip(chunks, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True)
+        return zip(words, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True)
+
+
+def is_plain(word: str) -> bool:
+    """Letters up to U+024F, which are letters in every version of Unicode, then perhaps punctuation."""
+    core = word.rstrip(".,;:!?")
+    return core.isalpha() and (core.isascii() or max(core) < "\u0250")
+
+
+def plain_encoder(tokenizer):
+    """A faster encoder of plain words after spaces; None where the vocabulary's merges are not in the order of its ids."""
+    model = json.loads(tokenizer.to_str())["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [model["vocab"][a + b] for a, b in pairs]
+    if order != sorted(order):
+        return None
+    # Byte-level vocabularies write bytes that do not print as characters from U+0100 on.
+    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in printing} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printing)))}
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    return tiktoken.Encoding("plain", pat_str=r" [^\s.,;:!?]+|[.,;:!?]+", mergeable_ranks=ranks, special_tokens={})
 
 
 class TextIds:
@@ -70,53 +110,59 @@ class TextIds:
         self.spaced, self.exact = SpacedMemo(path), Memo(path, id_bytes)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        plain = [_WIDE.search(t) is None for t in texts]
-        split = [t.split(" ") if even else _CUTS.split(t) for t, even in zip(texts, plain, strict=True)]
-        exact = self.exact.learn({c for p, even in zip(split, plain, strict=True) for c in (p[:1] if even else p)})
-        spaced = self.spaced.learn(set().union(*(p[1:] for p, even in zip(split, plain, strict=True) if even)))
-        return [exact[p[0]] + b"".join(map(spaced.__getitem__, p[1:])) if even else b"".join(map(exact.__getitem__, p)) for p, even in zip(split, plain, strict=True)]
+        split = [t.split(" ") for t in texts]
+        spaced = self.spaced.learn(set().union(*split))
+        first = self.exact.learn({p[0] for p in split})
+        out: list[bytes] = []
+        for text, parts in zip(texts, split, strict=True):
+            try:
+                if spaced[parts[0]] is None:
+                    raise TypeError
+                out.append(first[parts[0]] + b"".join(map(spaced.__getitem__, islice(parts, 1, None))))
+            except TypeError:  # spaces in a row, or beside other white space
+                chunks = _CUTS.split(text)
+                exact = self.exact.learn(set(chunks))
+                out.append(b"".join(map(exact.__getitem__, chunks)))
+        return out
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[list[list[int]], int]:
     """Deal items into ``windows`` near-equal windows; their items and the largest sum.
 
-    Each partial partition keeps its windows' sums in descending order and, for
-    each, the root of a binary tree of items, so a merge costs one sort.
+    A partial partition lists its used windows by sum, each with the tree of its
+    items.  Of two partitions the largest windows meet the smallest, which are
+    unused ones as long as there are enough.
     """
-    left, right = [], []  # of inner nodes; leaves are the items, numbered first
-    n = len(sizes)
-    heap = []
-    for item, size in enumerate(sizes):
-        sums, roots = np.zeros(windows, np.int64), np.full(windows, -1, np.int64)
-        sums[0], roots[0] = size, item
-        heap.append((-size, item, sums, roots))
+    heap = [(-size, item, [(size, item)]) for item, size in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, tie, sums, roots = heapq.heappop(heap)
-        _, _, other, others = heapq.heappop(heap)
-        other, others = other[::-1], others[::-1]
-        merged = np.where(roots < 0, others, roots)
-        for w in np.flatnonzero((roots >= 0) & (others >= 0)).tolist():
-            left.append(int(roots[w]))
-            right.append(int(others[w]))
-            merged[w] = n + len(left) - 1
-        total = sums + other
-        order = np.argsort(-total, kind="stable")
-        total = total[order]
-        heapq.heappush(heap, (int(total[-1] - total[0]), tie, total, merged[order]))
-    out: list[list[int]] = []
-    _, _, sums, roots = heap[0]
-    for top in roots.tolist():
-        items, stack = [], [top] if top >= 0 else []
+        _, tie, one = heapq.heappop(heap)
+        _, _, two = heapq.heappop(heap)
+        if len(one) < len(two):
+            one, two = two, one
+        meet = len(one) + len(two) - windows
+        if meet <= 0:
+            if len(two) == 1:
+                insort(one, two[0], key=itemgetter(0))
+            else:
+                one = sorted(one + two, key=itemgetter(0))
+        else:
+            # The largest of the one fill the other's unused windows; the rest meet its smallest, large with small.
+            both = [(a + b, (x, y)) for (a, x), (b, y) in zip(one[:meet], reversed(two[:meet]), strict=True)]
+            one = sorted(both + one[meet:] + two[meet:], key=itemgetter(0))
+        low = one[0][0] if len(one) == windows else 0
+        heapq.heappush(heap, (low - one[-1][0], tie, one))
+    dealt: list[list[int]] = []
+    for _, tree in heap[0][2]:
+        items, stack = [], [tree]
         while stack:
             node = stack.pop()
-            if node < n:
-                items.append(node)
+            if isinstance(node, tuple):
+                stack += node[::-1]
             else:
-                stack += (right[node - n], left[node - n])
-        if items:
-            out.append(items)
-    return out, int(sums[0])
+                items.append(node)
+        dealt.append(items)
+    return dealt, heap[0][2][-1][0]
 
 
 def near_equal_windows(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -145,7 +191,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextIds(tokenizer_path)
+        encoder = lasting(f"ids {tokenizer_path}", lambda: TextIds(tokenizer_path))
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) * TASK_SEQUENCES
         end = np.asarray([end_id], "<u4").tobytes()

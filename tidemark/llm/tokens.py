@@ -3,12 +3,14 @@
 Texts travel in Arrow batches and only lengths come back.  A long text is split
 at safe boundaries (white space, which no token of the vocabulary spans), so the
 tokenizer sees many short chunks; chunks not met before are encoded in batches
-of bounded bytes and their lengths are kept in a bounded table per task.
+of bounded bytes and their lengths are kept in a bounded table per worker.
 """
 
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one call of the tokenizer gets.
 BATCH_BYTES = 1 << 20
-#: Chunks whose result a task remembers, and the longest such chunk.
-MEMO_CHUNKS, MEMO_CHARS = 250_000, 64
+#: Chunks whose result a worker remembers, and the longest such chunk.
+MEMO_CHUNKS, MEMO_CHARS = 400_000, 64
 
 
 def load(path: str):
@@ -43,12 +45,21 @@ def byte_balanced(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[li
         yield group
 
 
+def lasting(name: str, make):
+    """What ``make`` gives, kept for the later tasks of this Python worker."""
+    store = sys.modules.setdefault("_tidemark_lasting", types.ModuleType("_tidemark_lasting")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 class Memo:
-    """Results by chunk, encoded in balanced batches; when too many, those not in use are forgotten."""
+    """Results by chunk, encoded in batches; when too many, those met in one batch only are forgotten."""
 
     def __init__(self, path: str, result) -> None:
         self.tokenizer, self.result = load(path), result
         self.known: dict = {}
+        self.again: set[str] = set()
 
     def encode(self, chunks: list[str]) -> Iterable[tuple[str, object]]:
         """Each chunk with its result."""
@@ -57,14 +68,18 @@ class Memo:
     def learn(self, chunks: set[str]) -> dict:
         """A table that covers ``chunks``."""
         if len(self.known) > MEMO_CHUNKS:
-            self.known = {c: self.known[c] for c in chunks & self.known.keys()}
-        long: dict = {}
-        fresh = chunks - self.known.keys()
-        for group in byte_balanced([c for c in fresh if len(c) <= MEMO_CHARS]):
-            self.known.update(self.encode(group))
-        for group in byte_balanced([c for c in fresh if len(c) > MEMO_CHARS]):
-            long.update(self.encode(group))
-        return self.known | long if long else self.known
+            kept = self.again if 2 * len(self.again) < MEMO_CHUNKS else chunks
+            self.known, self.again = {c: self.known[c] for c in kept if c in self.known}, set()
+        known, long = self.known, {}
+        fresh = [c for c in chunks if c not in known]
+        self.again |= chunks.difference(fresh)
+        short = [c for c in fresh if len(c) <= MEMO_CHARS]
+        for lo in range(0, len(short), 8192):  # half a megabyte at most
+            known.update(self.encode(short[lo : lo + 8192]))
+        if len(short) < len(fresh):
+            for group in byte_balanced(c for c in fresh if len(c) > MEMO_CHARS):
+                long.update(self.encode(group))
+        return known | long if long else known
 
 
 def spaced_chunks(text: str) -> list[str]:
@@ -82,7 +97,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(tokenizer_path, len)
+        memo = lasting(f"counts {tokenizer_path}", lambda: Memo(tokenizer_path, len))
         for batch in batches:
             counts: list[int] = []
             for group in byte_balanced(batch.column(2).to_pylist()):
