@@ -223,7 +223,7 @@ def test_jaccard_join(spark, docs, none):
     links = brute_links([t for _, t in texts])
     degree = collections.Counter(x for pair in links for x in pair)
     root = roots(len(texts), links)
-    want = sorted((i, texts[root[k]][0], degree[k]) for k, (i, _) in enumerate(texts))
+    want = sorted(((i, texts[root[k]][0], degree[k]) for k, (i, _) in enumerate(texts)), key=repr)
     # Groups of more than a block are compared in several cells.
     for cap in (near.GROUP_ROWS, 4):
         near.GROUP_ROWS, before = cap, near.GROUP_ROWS
@@ -386,8 +386,16 @@ def test_native_operators_run_no_python(spark, docs):
         assert not re.search("Python|Arrow|Pandas", plan.replace("ArrowConverters", ""))
 
 
-def test_extra_columns_may_clash(docs):
+def test_extra_columns_may_clash(spark, docs):
     """Inner names as input columns: each operator takes only what it needs."""
-    odd = docs.withColumns({c: F.lit(1) for c in ("spans", "cell", "component", "weight", "rep", "held_out", "n_words", "f", "copies", "rate")})
-    assert near.jaccard_classes(odd).count() == quality.quality_rules(odd).count() == substrings.remove_duplicates(odd).count() == len(awkward())
+    names = "spans cell component weight rep held_out n_words f copies rate other_id chosen domain labelled_id t b x g h v w seen key block node"
+    odd = docs.withColumns({c: F.lit(1) for c in names.split()})
+    n = len(awkward())
+    assert near.jaccard_classes(odd).count() == quality.quality_rules(odd).count() == substrings.remove_duplicates(odd).count() == n
     assert quality.passing(odd).columns == near.one_of_each(odd).columns == odd.columns
+    model = secrets.train(odd)
+    assert secrets.scan(odd, model).count() == secrets.redact(odd, model).count() == n and secrets.redact(odd, model).columns == odd.columns
+    labels = spark.createDataFrame([(5, "a"), (7, "b")], "doc_id long, domain string")
+    assert mixing.rated(odd, mixing.train(odd, labels), {"a": 1.0}).select("row.*").columns == odd.columns
+    assert languages.identify(odd, languages.train(odd)).count() == tokens.token_counts(odd, queries.vocabulary("word_bpe_49k.json")).count() == n
+    assert packing.pack(odd, queries.vocabulary("byte_bpe_50k.json")).where("start = 0").count() == n

@@ -22,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, since a row may hold a very long text."""
+    """Bound the rows and bytes of an Arrow batch, since a row may hold a very long text; a setting of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,7 +55,8 @@ def kept(df: DataFrame) -> DataFrame:
     """The same rows, kept on the executors' disks once computed and computed again where one is lost.
 
     For frames that are read twice within a query: unlike a written table it
-    leaves no files in the shared folder, but it keeps its lineage.
+    leaves no files in the shared folder, but it keeps its lineage.  A session
+    that runs many queries frees them with ``spark.catalog.clearCache()``.
     """
     return df.persist(StorageLevel.DISK_ONLY)
 

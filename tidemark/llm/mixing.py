@@ -77,7 +77,8 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     labels = labelled.where("doc_id is not null and domain is not null").select(F.col("doc_id").alias("labelled_id"), "domain")
     n = labels.count()
     sample = written(labels.where(F.expr("(xxhash64(labelled_id, 5L) & 1073741823L) / 1073741824D") * n < SAMPLE_LABELS).coalesce(1))
-    rows = docs.join(sample, F.col(id_col) == F.col("labelled_id")).select("domain", F.expr(features(f"coalesce({text_col}, '')")).getField("seen").alias("w"))
+    texts = docs.select(F.col(id_col).alias("labelled_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(sample, "labelled_id").select("domain", F.expr(features("text")).getField("seen").alias("w"))
     rows = kept(rows)
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains, total = sorted(sizes), sum(sizes.values())

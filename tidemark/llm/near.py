@@ -258,4 +258,4 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
     """
     classes = jaccard_classes(docs, k, threshold, id_col, text_col)
     others = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(others, F.col(id_col) == F.col("other_id"), "left_anti")
+    return docs.join(others, docs[id_col] == others["other_id"], "left_anti")

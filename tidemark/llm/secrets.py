@@ -86,7 +86,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ma
     spark = docs.sparkSession
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("chosen")).orderBy(F.xxhash64("chosen"), "chosen").limit(SAMPLE_DOCS).distinct()
     chosen = written(chosen)
-    texts = docs.join(chosen, F.col(id_col) == F.col("chosen"), "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts = docs.join(chosen, docs[id_col] == chosen["chosen"], "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     base = "concat(" + ", ".join(f"transform({matches('t', p, g, n)}, x -> x.v)" for _, p, g, n in BASE) + ")"
     plain = "t"
     for _, p, _, _ in BASE[:2]:
@@ -134,8 +134,8 @@ def scan(docs: DataFrame, model: MarkovRatio, id_col: str = "doc_id", text_col:
     base span or have few different characters are not judged.  A null or empty text has no spans.  Repeated rows
     and null ids give a row each; other columns are ignored.
     """
-    text = f"coalesce({text_col}, '')"
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(spans_of(model, text)).alias("f"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = rows.select("doc_id", F.expr(spans_of(model, "text")).alias("f"))
     counts = [F.expr(f"cast(size(filter(f.base, x -> x.k = {k})) as bigint)").alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
     return found.select(
         "doc_id",
