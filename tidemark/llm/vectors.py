@@ -152,13 +152,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     """
     spark = vectors.sparkSession
     distance = math.sqrt(2 - 2 * threshold)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    # Vectors travel as they are stored and become doubles where they are compared.
+    kind = dict(vectors.dtypes)[vector_col]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
     sound = "vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vector, x -> x <> 0)"
-    rows = rows.withColumn("vector", F.when(F.expr(sound) & F.col("vec_id").isNotNull(), F.expr("transform(vector, x -> x + 0D)")))
+    rows = rows.withColumn("vector", F.when(F.expr(sound) & F.col("vec_id").isNotNull(), F.col("vector")))
     copies = kept(rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
     lines, tables = table_plan(copies.count(), distance)
-    dealt = copies.select("rep", "weight", "vector").mapInArrow(_dealt(lines, tables), "rep long, weight long, vector array<double>, keys array<long>")
-    # Keys first: most are alone in their cell and their vectors need not travel.
+    dealt = copies.select("rep", "weight", "vector").mapInArrow(_dealt(lines, tables), f"rep long, weight long, vector {kind}, keys array<long>")
     spread = dealt.select("*", F.posexplode("keys").alias("t", "key"))
     cells = deal_in_blocks(spread, "key", "rep", BLOCK_ROWS)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
