@@ -6,18 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import scale_of, zigzag
-from ..model import BLOCK_POINTS, PACKED_MAX, SCALE_MAX
+from ..model import BLOCK_POINTS, DAY_NS, PACKED_MAX, SCALE_MAX
 
 SERIES = ["key", "field"]
 
 
-def _in_order() -> Window:
-    return Window.partitionBy(*SERIES).orderBy("ts_ns")
+def numbered(points: DataFrame, bucket_ns: int = DAY_NS) -> DataFrame:
+    """Number each series field's points in time order, from 0, as ``place``.
+
+    Rows are numbered within buckets of time, and each bucket starts after those
+    before it, so a series with very many points is spread over its days and
+    only counts by bucket meet in one place.
+    """
+    bucketed = points.withColumn("bucket", F.expr(f"floor(ts_ns / {bucket_ns}D)"))
+    counts = bucketed.groupBy(*SERIES, "bucket").agg(F.count(F.lit(1)).alias("n_before"))
+    before = F.sum("n_before").over(Window.partitionBy(*SERIES).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*SERIES, "bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy(*SERIES, "bucket").orderBy("ts_ns")) - 1
+    return bucketed.withColumn("own", own).join(starts, [*SERIES, "bucket"]).withColumn("place", F.col("start") + F.col("own")).drop("bucket", "own", "start")
 
 
 def with_blocks(points: DataFrame, size: int = BLOCK_POINTS) -> DataFrame:
-    """Number each series field's points in time order and cut them into blocks of ``size``."""
-    return points.withColumn("block", F.floor((F.row_number().over(_in_order()) - 1) / size).cast("bigint"))
+    """Cut each series field's points, in time order, into blocks of ``size``."""
+    return numbered(points).withColumn("block", F.floor(F.col("place") / size).cast("bigint")).drop("place")
+
+
+def deltas(blocked: DataFrame, value: str) -> DataFrame:
+    """``delta``: each point's difference from the one before in its block, the first's from 0."""
+    order = Window.partitionBy(*SERIES, "block").orderBy("ts_ns")
+    return blocked.withColumn("delta", F.col(value) - F.coalesce(F.lag(value).over(order), F.lit(0)))
 
 
 def block_stats(blocked: DataFrame) -> DataFrame:
@@ -42,16 +59,11 @@ def file_stats(points: DataFrame, file: Column, deleted: DataFrame | None = None
     return stats.join(hit.select("file", F.lit(True).alias("has_tombstone")), "file", "left").withColumn("has_tombstone", F.coalesce("has_tombstone", F.lit(False)))
 
 
-def time_deltas(points: DataFrame) -> DataFrame:
-    """Each point's distance in time from the one before, null for the first."""
-    return points.withColumn("delta", F.col("ts_ns") - F.lag("ts_ns").over(_in_order()))
-
-
 def timestamp_encoding(blocked: DataFrame) -> DataFrame:
     """The encoding of each block's times, with the deltas' scale: rle, packed or raw."""
     order = Window.partitionBy(*SERIES, "block").orderBy("ts_ns")
-    deltas = blocked.withColumn("delta", F.col("ts_ns") - F.lag("ts_ns").over(order))
-    scales = deltas.groupBy(*SERIES, "block").agg(
+    spaced = blocked.withColumn("delta", F.col("ts_ns") - F.lag("ts_ns").over(order))
+    scales = spaced.groupBy(*SERIES, "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("delta").alias("least"), F.max("delta").alias("most"), F.min(F.when(F.col("delta").isNotNull(), scale_of(F.col("delta")))).alias("scale")
     )
     choice = F.when((F.col("n") > 1) & (F.col("least") == F.col("most")), "rle").when(F.col("most") > PACKED_MAX, "raw").otherwise("packed")
@@ -61,10 +73,9 @@ def timestamp_encoding(blocked: DataFrame) -> DataFrame:
 def integer_encoding(blocked: DataFrame, value: str = "v_int") -> DataFrame:
     """The encoding of each block's integers: zigzag of deltas, the first from 0."""
     order = Window.partitionBy(*SERIES, "block").orderBy("ts_ns")
-    zz = zigzag(F.col(value) - F.coalesce(F.lag(value).over(order), F.lit(0)))
-    deltas = blocked.withColumn("zz", zz).withColumn("place", F.row_number().over(order))
-    later = F.when(F.col("place") > 1, F.col("zz"))
-    stats = deltas.groupBy(*SERIES, "block").agg(F.count(F.lit(1)).alias("n"), F.min(later).alias("least"), F.max(later).alias("most"), F.max("zz").alias("top"), F.min("zz").alias("low"))
+    coded = deltas(blocked, value).withColumn("zz", zigzag(F.col("delta"))).withColumn("nth", F.row_number().over(order))
+    later = F.when(F.col("nth") > 1, F.col("zz"))
+    stats = coded.groupBy(*SERIES, "block").agg(F.count(F.lit(1)).alias("n"), F.min(later).alias("least"), F.max(later).alias("most"), F.max("zz").alias("top"), F.min("zz").alias("low"))
     # As bits of an unsigned number, a negative one is beyond the packed format.
     choice = F.when((F.col("n") > 2) & (F.col("least") == F.col("most")), "rle").when((F.col("top") > PACKED_MAX) | (F.col("low") < 0), "raw").otherwise("packed")
     return stats.select(*SERIES, "block", "n", choice.alias("encoding"))

@@ -18,6 +18,7 @@ from .functions import codecs, costs, times, values
 from .model import LIFECYCLE_DAYS, MAX_NS, MIN_NS
 from .operators import blocks, garbage, points, ranges, reports
 from .plans import compaction
+from .plans.engine import Engine
 from .plans.statements import parse
 from .sources import ingest
 from .sources.store import PointStore
@@ -186,6 +187,53 @@ def empty_range(spark, d):
     return points.include(value_points(spark, d), JAN_20, JAN_10).select("key", "ts_ns", F.col("v_float").alias("value"))
 
 
+STATEMENTS = [
+    "select temperature from weather;",
+    "select value from data where time > 100 and time < 200 limit 5 asc;",
+    'insert into data name="a,b=c", value=42, ok=true, load=1.5, n=7u, host=web, time=1710000000;',
+    "delete from data where time > 1710000000 and time < 1710009999;",
+    "delete from events;",
+    "update data",
+]
+
+
+@query(
+    f"""SELECT * FROM (VALUES (0, 'select', 'weather', 'temperature', CAST('{MIN_NS + 2}' AS BIGINT), CAST('{MAX_NS - 1}' AS BIGINT), 10, false), (1, 'select', 'data', 'value', 101, 199, 5, true),
+    (2, 'insert', 'data', 'name:String,value:Integer,ok:Boolean,load:Float,n:Unsigned,host:String', 1710000000, 1710000000, 0, false), (3, 'delete', 'data', '', 1710000001, 1710009998, 0, false),
+    (4, 'delete', 'events', '', CAST('{MIN_NS}' AS BIGINT), CAST('{MAX_NS}' AS BIGINT), 0, false), (5, 'error', '', '', 0, 0, 0, false)) t(place, kind, key, fields, lo, hi, lim, ascending)"""
+)
+def statement_parse(spark, d):
+    """What statements say, one row each."""
+    rows = []
+    for place, text in enumerate(STATEMENTS):
+        try:
+            st = parse(text)
+        except ValueError:
+            rows.append((place, "error", "", "", 0, 0, 0, False))
+            continue
+        kind = type(st).__name__.lower()
+        fields = st.field if kind == "select" else ",".join(f"{k}:{v}" for k, v in st.types.items()) if kind == "insert" else ""
+        lo, hi = (st.ts_ns, st.ts_ns) if kind == "insert" else (st.lo, st.hi)
+        rows.append((place, kind, st.key, fields, lo, hi, getattr(st, "limit", 0), getattr(st, "ascending", False)))
+    return spark.createDataFrame(rows, "place int, kind string, key string, fields string, lo bigint, hi bigint, lim int, ascending boolean")
+
+
+@query("SELECT * FROM (VALUES (40::BIGINT, 4::BIGINT), (30, 33), (10, 1)) t(ts_ns, value)")
+def engine_statements(spark, d):
+    """Inserts, a delete, a rewrite and a select, by statements."""
+    engine = Engine(spark, scratch(spark))
+    for text in ("insert into k v=1, s=\"x\", time=10", "insert into k v=2, time=20", "insert into k v=3, time=30", "delete from k where time > 15", "insert into k v=33, time=30", "insert into k v=4, time=40"):
+        engine.execute(text)
+    return engine.execute("select v from k limit 5 desc")
+
+
+@query("SELECT rtrim(rtrim(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '0'), '.') || 'Z' AS timestamp, event_type || ' ' || user_id || 'i' AS value FROM events")
+def result_text(spark, d):
+    """Results as text: times in RFC 3339, values with their type's suffix."""
+    p = event_points(spark, d).where("field = 'user_id'")
+    return p.select(times.rfc3339(F.col("ts_ns")).alias("timestamp"), F.concat_ws(" ", "key", values.value_text()).alias("value"))
+
+
 # -- last write wins, merges, deletes ----------------------------------------------
 
 
@@ -492,12 +540,13 @@ def location_order(spark, d):
     return blocks.block_stats(_blocked(spark, d)).select("key", "block", F.rank().over(Window.partitionBy("key").orderBy("ts_min", "block")).cast("long").alias("place"))
 
 
-@query(f"SELECT key, ts_ns, xor((delta << 1) & 9223372036854775807, delta >> 63) AS zz FROM (SELECT key, ts_ns, user_id - coalesce(lag(user_id) OVER (PARTITION BY key ORDER BY ts_ns), 0) AS delta FROM {_EVENTS}) WHERE delta >= 0"
-       f" UNION ALL SELECT key, ts_ns, -2 * delta - 1 FROM (SELECT key, ts_ns, user_id - coalesce(lag(user_id) OVER (PARTITION BY key ORDER BY ts_ns), 0) AS delta FROM {_EVENTS}) WHERE delta < 0")
+@query(
+    f"""WITH b AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY ts_ns) - 1) // 2000 AS block FROM {_EVENTS}), dl AS (SELECT key, ts_ns, user_id - coalesce(lag(user_id) OVER (PARTITION BY key, block ORDER BY ts_ns), 0) AS delta FROM b)
+    SELECT key, ts_ns, CASE WHEN delta >= 0 THEN 2 * delta ELSE -2 * delta - 1 END AS zz FROM dl"""
+)
 def delta_zigzag(spark, d):
-    p = event_points(spark, d).where("field = 'user_id'")
-    delta = F.col("v_int") - F.coalesce(F.lag("v_int").over(Window.partitionBy("key").orderBy("ts_ns")), F.lit(0))
-    return p.select("key", "ts_ns", codecs.zigzag(delta).alias("zz"))
+    b = blocks.deltas(blocks.with_blocks(event_points(spark, d).where("field = 'user_id'")), "v_int")
+    return b.select("key", "ts_ns", codecs.zigzag(F.col("delta")).alias("zz"))
 
 
 _SCALE = "CASE " + " ".join(f"WHEN delta % {10**n} = 0 THEN {10**n}" for n in range(12, 0, -1)) + " ELSE 1 END"
