@@ -14,8 +14,9 @@ IDENTITY = ["key", "field", "ts_ns"]
 def last_write_wins(points: DataFrame) -> DataFrame:
     """The point with the greatest ``seq`` of each ``(key, field, ts_ns)``.
 
-    Each typed column is aggregated by itself, so numbers stay in a hash
-    aggregate with partial sums before the only shuffle.
+    Each column is aggregated by itself: what a reader does not select is not
+    carried, and numbers stay in a hash aggregate with a partial one before the
+    only shuffle.
     """
     carried = [c for c in points.columns if c not in (*IDENTITY, "seq")]
     return points.groupBy(*IDENTITY).agg(*(F.max_by(c, "seq").alias(c) for c in carried), F.max("seq").alias("seq")).select(*points.columns)
@@ -23,11 +24,11 @@ def last_write_wins(points: DataFrame) -> DataFrame:
 
 def overlay(older: DataFrame, newer: DataFrame) -> DataFrame:
     """The union of two runs in which the newer wins equal timestamps, whatever ``seq`` says."""
-    ranked = older.withColumn("run", F.lit(0)).unionByName(newer.withColumn("run", F.lit(1)))
-    # One order for both: run first, then seq.
-    rank = F.struct("run", "seq")
+    # One number for run and seq, so that numbers stay in a hash aggregate.
+    above = F.lit(str(1 << 64)).cast("decimal(21,0)")
+    ranked = older.withColumn("rank", F.col("seq").cast("decimal(21,0)")).unionByName(newer.withColumn("rank", F.col("seq").cast("decimal(21,0)") + above))
     carried = [c for c in older.columns if c not in IDENTITY]
-    return ranked.groupBy(*IDENTITY).agg(*(F.max_by(c, rank).alias(c) for c in carried)).select(*older.columns)
+    return ranked.groupBy(*IDENTITY).agg(*(F.max_by(c, "rank").alias(c) for c in carried)).select(*older.columns)
 
 
 def merge_cached(files: DataFrame, cached: DataFrame, value: str) -> DataFrame:
