@@ -87,6 +87,15 @@ def join_apart(rows: DataFrame, grouped: DataFrame, key: str) -> DataFrame:
     return left.join(right, ["key_hash", key]).drop("key_hash").hint("rebalance")
 
 
+def in_fewer_tasks(df: DataFrame, times: int = 4) -> DataFrame:
+    """The same rows from a fraction of the session's shuffle partitions.
+
+    For results that are small beside what was shuffled for them: each task
+    writes a file, and many small files cost more than the tasks they save.
+    """
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // times))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, the smallest node of each.
 
@@ -116,7 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def small(pairs: DataFrame) -> DataFrame:
         """Edges are few beside what they link, and so are their files."""
-        return cut(pairs.coalesce(max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 12)))
+        return cut(in_fewer_tasks(pairs, 12))
 
     current = small(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not settled(current):

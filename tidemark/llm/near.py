@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_in_blocks, kept, linked_sets, partitions_for, runs_of, written
+from .common import components, deal_in_blocks, in_fewer_tasks, kept, linked_sets, partitions_for, runs_of, written
 from .words import WordHasher, mixed, rolled, stretches, texts_of, words_in
 
 #: Coordinates of the embedding; the first of them start the runs.
@@ -227,7 +227,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     node = node.withColumn("key", F.col("k0"))
     for depth in range(SPLITS):
         # Oversized nodes are few; written, their size is known and decides how they are joined.
-        large = written(node.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE_ROWS).select(F.col("key").alias("large")).coalesce(max(1, tasks // 12)))
+        large = written(in_fewer_tasks(node.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE_ROWS).select(F.col("key").alias("large")), 12))
         node = node.join(large, F.col("key") == F.col("large"), "left").withColumn("key", F.when(F.col("large").isNotNull(), F.col(f"k{depth + 1}")).otherwise(F.col("key"))).drop("large")
     # Most sets are alone in their nodes; only the others' sketches travel.
     cells = deal_in_blocks(node.select("key", "rep"), "key", "rep", NODE_ROWS).select("cell", "rep").join(sets.select("rep", "sketch"), "rep").select("cell", "rep", "sketch")
@@ -247,6 +247,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     linked = copies.join(links.withColumnRenamed("node", "rep"), "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     linked = linked.select("d1", "d2", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     told = embedded.select("doc_id", "d1", "d2", (F.col("doc_id").isNotNull() & F.col("sketch").isNotNull()).alias("has")).join(linked, ["d1", "d2"], "left")
+    told = in_fewer_tasks(told)
     return told.select("doc_id", F.when(F.col("has"), F.col("class")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("has"), F.col("links")).otherwise(0).cast("long").alias("n_links"))
 
 

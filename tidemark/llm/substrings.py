@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import in_fewer_tasks, partitions_for
 from .words import WordHasher, rolled, sliding_min, stretches, texts_of, words_in
 
 #: Words of the runs whose least hash is a window's minimizer.
@@ -97,7 +97,11 @@ def _phrases(blocks: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, count, turn = WordHasher(), [], 0, 0
+        seen: set[int] = set()
         for batch in batches:
+            fresh = [not (i in seen or seen.add(i)) for i in batch.column(0).to_pylist()]
+            if not all(fresh):  # rows that repeat an id are one document
+                batch = batch.filter(pa.array(fresh))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, bounds = texts_of(batch.column(1))
             turn = turn or (int(ids[0]) if len(ids) else 0)
@@ -116,6 +120,7 @@ def _phrases(blocks: int, window: int):
                 if count >= HELD_WINDOWS:
                     yield from flush(held, turn)
                     held, count, turn = [], 0, turn + 1
+                    seen.clear()
         if count:
             yield from flush(held, turn)
 
@@ -209,6 +214,6 @@ def remove_duplicates(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
 
     spans = duplicate_spans(docs, window, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = in_fewer_tasks(rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans"))
     done = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if keep_text else done.drop("kept")

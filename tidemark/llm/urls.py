@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_fewer_tasks
+
 #: Hex digits of the digest on which expressions and rules are joined.
 PREFIX_DIGITS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,5 +61,5 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     fitting = spread.join(keyed, "key").where(F.col("digest") == F.col("rule_digest")).where(F.expr("startswith(path, rule_path)"))
     order = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_path"), (F.col("rule_verdict") == "block").cast("int"), "rule_host")
     best = fitting.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict"), order).alias("best"))
-    judged = rows.join(best, ["host", "path"], "left")
+    judged = in_fewer_tasks(rows.join(best, ["host", "path"], "left"))
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_in_blocks, kept, linked_sets, runs_of
+from .common import components, deal_in_blocks, in_fewer_tasks, kept, linked_sets, runs_of
 
 TARGET_RECALL = 0.99
 #: Lines whose collisions are counted, and the half-width of a window in distances at the threshold.
@@ -170,6 +170,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     linked = copies.join(links, F.col("rep") == F.col("node"), "left").drop("node").join(classes, F.col("rep") == F.col("node"), "left")
     linked = linked.select("vector", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    told = rows.join(linked, "vector", "left")
+    told = in_fewer_tasks(rows.join(linked, "vector", "left"))
     component = F.coalesce("component", "vec_id")
     return told.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
