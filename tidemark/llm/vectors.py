@@ -161,10 +161,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     copies = kept(rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
     lines, tables = table_plan(copies.count(), distance)
     dealt = copies.select("rep", "weight", "vector").mapInArrow(_dealt(lines, tables), f"rep long, weight long, vector {kind}, keys array<long>")
-    spread = dealt.select("*", F.posexplode("keys").alias("t", "key"))
-    cells = deal_in_blocks(spread, "key", "rep", BLOCK_ROWS)
+    # Cells are made of ids alone; vectors join when it is known which cells they go to.
+    cells = deal_in_blocks(dealt.select("rep", F.posexplode("keys").alias("t", "key")), "key", "rep", BLOCK_ROWS).select("cell", "side", "within", "rep", "t")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.select("cell", "side", "within", "rep", "weight", "vector", "keys", "t").repartition(tasks, "cell").sortWithinPartitions("cell")
+    cells = cells.join(dealt, "rep").select("cell", "side", "within", "rep", "weight", "vector", "keys", "t").repartition(tasks, "cell").sortWithinPartitions("cell")
     verified = kept(cells.mapInArrow(_verified(threshold, distance), "node long, root long, links long"))
     classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
