@@ -22,8 +22,8 @@ from .common import kept, written
 from .quality import let, words_of
 from .secrets import _literal
 
-#: Labelled rows on which the classifier is fitted, in expectation, and the features it looks for in each domain.
-SAMPLE_LABELS, FEATURES = 8000, 64
+#: Labelled rows on which the classifier is fitted, in expectation; they bound the number of its features.
+SAMPLE_LABELS = 8000
 #: Least lift and chi-square of a feature in its domain, and what stands for having no feature.
 LIFT, CHI, NONE = 2.0, 25.0, " none"
 #: Features of a whole text besides its words, with a space so that no word equals them; t is the text, w its words, d the distinct ones.
@@ -68,9 +68,8 @@ class DomainModel:
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
     """Fit on about ``SAMPLE_LABELS`` rows of ``labelled(doc_id, domain)``, chosen by a hash of the id.
 
-    Each domain gives the ``FEATURES`` words and marks at most whose presence speaks
-    most for it (chi-square, ``CHI`` at least) among those ``LIFT`` times as frequent
-    there as overall.
+    Each domain gives every word and mark that is ``LIFT`` times as frequent there as
+    overall and whose presence speaks for it (chi-square, more than ``CHI``).
     Labels without a domain, an id or a document are left out; without any label
     the model has no domain.
     """
@@ -86,14 +85,13 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
         return DomainModel([], [], [], [])
     counts = [F.sum((F.col("domain") == d).cast("long")).alias(f"c{k}") for k, d in enumerate(domains)]
     seen = kept(rows.select("domain", F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *counts))
-    chosen = {}
+    telling = F.lit(False)
     for k, d in enumerate(domains):
         expected = F.col("n") * (sizes[d] / total)
         score = F.round(F.pow(F.col(f"c{k}") - expected, 2) / expected, 6)
-        for r in seen.where((F.col(f"c{k}") > LIFT * expected) & (score > CHI)).orderBy(score.desc(), "word").limit(FEATURES).collect():
-            chosen[r["word"]] = r
-    best = [chosen[w].asDict() for w in sorted(chosen)]
-    wanted = F.array(*(F.lit(r["word"]) for r in best)) if best else F.expr("cast(array() as array<string>)")
+        telling |= (F.col(f"c{k}") > LIFT * expected) & (score > CHI)
+    best = sorted((r.asDict() for r in seen.where(telling).collect()), key=lambda r: r["word"])
+    wanted = F.expr(f"from_json({_literal(json.dumps([r['word'] for r in best]))}, 'array<string>')")
     bare = {r["domain"]: r["n"] for r in rows.where(~F.arrays_overlap("w", wanted)).groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     best.append({"word": NONE, "n": sum(bare.values()), **{f"c{k}": bare.get(d, 0) for k, d in enumerate(domains)}})
     # That one feature is absent says nothing, as languages and topics differ within a domain; that all are says much.
