@@ -11,8 +11,10 @@ the driver.  Tokens are words here.
 
 from __future__ import annotations
 
+import collections
 import json
 import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -56,13 +58,26 @@ class DomainModel:
     weights: list[list[float]]
 
     def posterior(self, words: str) -> str:
-        """SQL for the posterior, an array in the order of ``domains``, given an array of features."""
-        table = f"from_json({_literal(json.dumps(self.words))}, 'array<string>')"
-        numbers = [f"from_json('{json.dumps(row)}', 'array<double>')" for row in self.weights]
+        """SQL for the posterior, an array in the order of ``domains``, given an array of features.
+
+        Features are found by slots of their CRC-32, as a list would be searched from its start for each word.
+        """
+        mask = (1 << (4 * len(self.words)).bit_length()) - 1
+        slots = [zlib.crc32(w.encode()) & mask for w in self.words]
+        order = sorted(range(len(slots)), key=lambda j: slots[j])
+        first: list[int | None] = [None] * (mask + 1)
+        for k in reversed(range(len(order))):
+            first[slots[order[k]]] = k
+        table = f"from_json({_literal(json.dumps([self.words[j] for j in order]))}, 'array<string>')"
+        starts, none = f"from_json('{json.dumps(first)}', 'array<int>')", order.index(self.words.index(NONE))
+        numbers = [f"from_json('{json.dumps([row[j] for j in order])}', 'array<double>')" for row in self.weights]
         scores = "array(" + ", ".join(f"{b}D + aggregate(i, 0D, (a, x) -> a + get({w}, x))" for b, w in zip(self.bias, numbers, strict=True)) + ")"
         soft = let("transform(s, x -> exp(x - array_max(s)))", "e", "transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))")
-        found = let(f"array_intersect({words}, {table})", "f", f"if(size(f) > 0, f, array('{NONE}'))")
-        return let(f"transform({found}, x -> cast(array_position({table}, x) - 1 as int))", "i", let(scores, "s", soft))
+        start = f"get({starts}, cast(crc32(x) & {mask}L as int))"
+        most = max(collections.Counter(slots).values())
+        place = let(start, "s", let(f"array_position(slice({table}, s + 1, {most}), x)", "p", "if(p > 0, cast(s + p - 1 as int), -1)"))
+        found = f"filter(transform(filter({words}, x -> {start} is not null), x -> {place}), x -> x >= 0)"
+        return let(let(found, "f", f"if(size(f) > 0, f, array({none}))"), "i", let(scores, "s", soft))
 
 
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
