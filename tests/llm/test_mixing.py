@@ -23,3 +23,14 @@ def test_no_group_is_starved_of_features(spark):
     assert set(large + small) <= set(model.words)
     rated = mixing.rated(texts, model, {"clean": 1.0}, anchor="clean").collect()
     assert not [x.row.doc_id for x in rated if x.copies and data[x.row.doc_id][1] == "toxic"]
+
+
+def test_rates_near_whole_numbers_are_rounded_without_bias(spark):
+    rng = np.random.default_rng(4)
+    data = [(" ".join(rng.choice([f"{d}{k}" for k in range(20)], 50)), d) for d in "abc" for _ in range(1000)]
+    texts, labels = frames(spark, data)
+    model = mixing.train(texts, labels)
+    for share in ({"a": 0.355, "b": 0.325, "c": 0.32}, {"a": 0.94, "b": 0.04, "c": 0.02}):
+        rated = mixing.rated(texts, model, share).collect()
+        for d, x in share.items():
+            assert abs(sum(r.copies for r in rated if data[r.row.doc_id][1] == d) - 3000 * x) < 40

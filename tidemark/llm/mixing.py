@@ -37,7 +37,7 @@ MARKS = [
 ]
 #: Greatest share of the total by which a domain may miss its target, and most iterations.
 TOLERANCE, ITERATIONS = 0.001, 40
-#: A rate this near a whole number is that number.
+#: Where text should stay as it is, a rate this near a whole number is that number.
 WHOLE = 0.1
 
 
@@ -163,18 +163,22 @@ def rated(docs: DataFrame, model: DomainModel, shares: dict[str, float], anchor:
     """``row``, ``n_tokens``, ``posterior``, ``rate`` and ``copies`` of every row.
 
     ``row`` holds the columns ``keep`` (all by default).  ``copies`` is the rate
-    rounded up or down by a hash of the id, so that totals hold in expectation; a
-    rate within ``WHOLE`` of a whole number is that number.  A null or empty text
-    has no tokens and the posterior of a text without known words.  Null ids and
-    repeated rows are rated like any other; without rows or labels rates are 1.
+    rounded up or down by a hash of the id, so that totals hold in expectation.  A
+    null or empty text has no tokens and the posterior of a text without known
+    words.  Null ids and repeated rows are rated like any other; without rows or
+    labels rates are 1.
     """
     columns = docs.columns if keep is None else keep
     members = soft_members(docs, model, text_col)
     members = written(members.withColumn("row", F.struct(*(F.col(f"row.`{c}`").alias(c) for c in columns))))
     told = members.withColumn("rate", fitted_rate(fit_rates(members, model, shares, anchor)))
-    near = F.abs(F.col("rate") - F.round("rate")) <= WHOLE
     chance = F.expr(f"(xxhash64(row.`{id_col}`, 9L) & 1073741823L) / 1073741824D")
-    return told.withColumn("copies", F.when(near, F.round("rate")).otherwise(F.floor(F.col("rate") + chance)).cast("long"))
+    return told.withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+
+
+def whole_copies():
+    """The copies of a rated row, or its rate as a whole number where it is within ``WHOLE`` of one."""
+    return F.when(F.abs(F.col("rate") - F.round("rate")) <= WHOLE, F.round("rate").cast("long")).otherwise(F.col("copies"))
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
