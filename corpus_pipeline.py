@@ -33,9 +33,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says: clean text as it is, nothing toxic or low."""
-    model = mixing.train(docs, mixing.domain_labels(table(spark, sf_dir, "labels")))
+    model = mixing.train(docs, mixing.domain_labels(table(spark, sf_dir, "labels")), dense=True)
     rated = mixing.rated(docs, model, {"clean": 1.0}, anchor="clean")
-    return rated.withColumn("copies", mixing.whole_copies()).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
+    return rated.withColumn("copies", mixing.whole_copies(model, "clean")).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

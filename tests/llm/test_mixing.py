@@ -34,3 +34,16 @@ def test_rates_near_whole_numbers_are_rounded_without_bias(spark):
         rated = mixing.rated(texts, model, share).collect()
         for d, x in share.items():
             assert abs(sum(r.copies for r in rated if data[r.row.doc_id][1] == d) - 3000 * x) < 40
+
+
+def test_a_stray_word_does_not_remove_a_long_text(spark):
+    rng = np.random.default_rng(6)
+    plain, vile = [f"plain{k}" for k in range(300)], [f"vile{k}" for k in range(20)]
+    data = [(" ".join(rng.choice(plain, 100)), "clean") for _ in range(800)]
+    data += [(" ".join(rng.permutation([*rng.choice(plain, 95), *rng.choice(vile, 5)])), "toxic") for _ in range(100)]
+    data += [(" ".join([*rng.choice(plain, 3000), vile[k]]), "clean") for k in range(4)]
+    texts, labels = frames(spark, data)
+    model = mixing.train(texts, labels, dense=True)
+    rated = mixing.rated(texts, model, {"clean": 1.0}, anchor="clean").withColumn("copies", mixing.whole_copies(model, "clean")).collect()
+    assert all(x.copies == (data[x.row.doc_id][1] == "clean") for x in rated)
+    assert [x.row.doc_id for x in rated if x.rate < 0.5 and data[x.row.doc_id][1] == "clean"]

@@ -15,7 +15,7 @@ import collections
 import json
 import math
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +50,50 @@ def features(text: str) -> str:
 
 @dataclass(frozen=True)
 class DomainModel:
-    """Log prior of each domain, and for each feature its log ratio of frequency in the domain to that overall."""
+    """Log prior of each domain, and for each feature its log ratio of frequency in the domain to that overall.
+
+    With densities also, for each domain, the log share of its labelled words that
+    each feature makes up, and the share of all features together.
+    """
 
     domains: list[str]
     words: list[str]
     bias: list[float]
     weights: list[list[float]]
+    densities: list[list[float]] = field(default_factory=list)
+    spread: list[float] = field(default_factory=list)
 
     def posterior(self, words: str) -> str:
-        """SQL for the posterior, an array in the order of ``domains``, given an array of features.
+        """SQL for the posterior, an array in the order of ``domains``, given an array of features."""
+        found, order = self._places(words)
+        none = order.index(self.words.index(NONE))
+        return let(let(found, "f", f"if(size(f) > 0, f, array({none}))"), "i", self._soft(self.weights, order))
+
+    def thin(self, text: str, domain: str) -> str:
+        """SQL for whether a text's words speak less against ``domain`` than so long a text's would.
+
+        Words are taken as Poisson counts, so one that is a feature says the less the
+        longer the text without others is.  Never so for a text with a mark, which is
+        a share of the whole text already, or without features.
+        """
+        found, order = self._places("w")
+        tests = [test for name, test in MARKS if name in self.words]
+        marked = "(" + " or ".join([*tests, "false"]) + ")"
+        less = [f" - size(w) * {x!r}D" for x in self.spread]
+        likely = let(self._soft(self.densities, order, less), "q", f"get(q, {self.domains.index(domain)}) >= 0.5")
+        told = let(found, "i", f"if(size(i) = 0 or {marked}, false, {likely})")
+        return let(text, "t", let(words_of("t"), "w", let("array_distinct(w)", "d", told)))
+
+    def _soft(self, numbers: list[list[float]], order: list[int], more: list[str] | None = None) -> str:
+        """SQL for the domains' chances from the numbers of the features at the places ``i``."""
+        rows = [f"from_json('{json.dumps([row[j] for j in order])}', 'array<double>')" for row in numbers]
+        more = more or [""] * len(rows)
+        scores = "array(" + ", ".join(f"{b}D + aggregate(i, 0D, (a, x) -> a + get({r}, x)){m}" for b, r, m in zip(self.bias, rows, more, strict=True)) + ")"
+        soft = let("transform(s, x -> exp(x - array_max(s)))", "e", "transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))")
+        return let(scores, "s", soft)
+
+    def _places(self, words: str) -> tuple[str, list[int]]:
+        """SQL for the places of the features among ``words``, and the order of features that places are in.
 
         Features are found by slots of their CRC-32, as a list would be searched from its start for each word.
         """
@@ -69,30 +104,26 @@ class DomainModel:
         for k in reversed(range(len(order))):
             first[slots[order[k]]] = k
         table = f"from_json({_literal(json.dumps([self.words[j] for j in order]))}, 'array<string>')"
-        starts, none = f"from_json('{json.dumps(first)}', 'array<int>')", order.index(self.words.index(NONE))
-        numbers = [f"from_json('{json.dumps([row[j] for j in order])}', 'array<double>')" for row in self.weights]
-        scores = "array(" + ", ".join(f"{b}D + aggregate(i, 0D, (a, x) -> a + get({w}, x))" for b, w in zip(self.bias, numbers, strict=True)) + ")"
-        soft = let("transform(s, x -> exp(x - array_max(s)))", "e", "transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))")
-        start = f"get({starts}, cast(crc32(x) & {mask}L as int))"
+        start = f"get(from_json('{json.dumps(first)}', 'array<int>'), cast(crc32(x) & {mask}L as int))"
         most = max(collections.Counter(slots).values())
         place = let(start, "s", let(f"array_position(slice({table}, s + 1, {most}), x)", "p", "if(p > 0, cast(s + p - 1 as int), -1)"))
-        found = f"filter(transform(filter({words}, x -> {start} is not null), x -> {place}), x -> x >= 0)"
-        return let(let(found, "f", f"if(size(f) > 0, f, array({none}))"), "i", let(scores, "s", soft))
+        return f"filter(transform(filter({words}, x -> {start} is not null), x -> {place}), x -> x >= 0)", order
 
 
-def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
+def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: bool = False) -> DomainModel:
     """Fit on about ``SAMPLE_LABELS`` rows of ``labelled(doc_id, domain)``, chosen by a hash of the id.
 
     Each domain gives every word and mark that is ``LIFT`` times as frequent there as
     overall and whose presence speaks for it (chi-square, more than ``CHI``).
     Labels without a domain, an id or a document are left out; without any label
-    the model has no domain.
+    the model has no domain.  ``dense`` asks for densities.
     """
     labels = labelled.where("doc_id is not null and domain is not null").select(F.col("doc_id").alias("labelled_id"), "domain")
     n = labels.count()
     sample = written(labels.where(F.expr("(xxhash64(labelled_id, 5L) & 1073741823L) / 1073741824D") * n < SAMPLE_LABELS).coalesce(1))
     texts = docs.select(F.col(id_col).alias("labelled_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(sample, "labelled_id").select("domain", F.expr(features("text")).getField("seen").alias("w"))
+    every = [F.expr(words_of("text")).alias("every")] if dense else []
+    rows = texts.join(sample, "labelled_id").select("domain", F.expr(features("text")).getField("seen").alias("w"), *every)
     rows = kept(rows)
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains, total = sorted(sizes), sum(sizes.values())
@@ -111,7 +142,16 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     best.append({"word": NONE, "n": sum(bare.values()), **{f"c{k}": bare.get(d, 0) for k, d in enumerate(domains)}})
     # That one feature is absent says nothing, as languages and topics differ within a domain; that all are says much.
     weights = [[math.log((r[f"c{k}"] + 0.5) / (sizes[d] + 1.0) * (total + 1.0) / (r["n"] + 0.5)) for r in best] for k, d in enumerate(domains)]
-    return DomainModel(domains, [r["word"] for r in best], [math.log(sizes[d] / total) for d in domains], weights)
+    model = DomainModel(domains, [r["word"] for r in best], [math.log(sizes[d] / total) for d in domains], weights)
+    if not dense:
+        return model
+    lengths = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.sum(F.size("every")).alias("n")).collect()}
+    telling_words = seen.where(telling).select("word")
+    times = rows.select("domain", F.explode("every").alias("word")).join(F.broadcast(telling_words), "word").groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts_of = {(r["domain"], r["word"]): r["n"] for r in times.collect()}
+    densities = [[math.log((counts_of.get((d, w), 0) + 0.5) / (lengths[d] + 1.0)) for w in model.words] for d in domains]
+    spread = [sum(counts_of.get((d, w), 0) for w in model.words) / (lengths[d] + 1.0) for d in domains]
+    return replace(model, densities=densities, spread=spread)
 
 
 def soft_members(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
@@ -176,9 +216,15 @@ def rated(docs: DataFrame, model: DomainModel, shares: dict[str, float], anchor:
     return told.withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
 
 
-def whole_copies():
-    """The copies of a rated row, or its rate as a whole number where it is within ``WHOLE`` of one."""
-    return F.when(F.abs(F.col("rate") - F.round("rate")) <= WHOLE, F.round("rate").cast("long")).otherwise(F.col("copies"))
+def whole_copies(model: DomainModel, anchor: str, text_col: str = "text"):
+    """The copies of a rated row, or its rate as a whole number where it is within ``WHOLE`` of one.
+
+    A row that would be lowered although its text is ``thin`` in evidence against
+    ``anchor`` is one copy.
+    """
+    thin = F.expr(model.thin(f"coalesce(row.`{text_col}`, '')", anchor)) if anchor in model.domains else F.lit(False)
+    spared = F.when(F.col("rate") < 1 - WHOLE, thin).otherwise(False)
+    return F.when(spared, F.lit(1).cast("long")).when(F.abs(F.col("rate") - F.round("rate")) <= WHOLE, F.round("rate").cast("long")).otherwise(F.col("copies"))
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
