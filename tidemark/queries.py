@@ -658,7 +658,7 @@ def separation_decision(spark, d):
 def zeta_estimate(spark, d):
     """Points that fall behind, by size of block."""
     n = blocks.block_stats(_blocked(spark, d)).groupBy("n").agg(F.count(F.lit(1)).alias("n_blocks"))
-    return n.withColumn("zeta", costs.zeta(F.least("n", F.lit(50)), F.lit(0.5), F.lit(0.5), 300, 3))
+    return n.withColumn("zeta", costs.zeta(F.col("n"), F.lit(0.5), F.lit(0.5)))
 
 
 # -- value files -------------------------------------------------------------------------
