@@ -105,3 +105,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     if span < width:
         out = np.minimum(out[: len(values) - width + 1], out[width - span :])
     return out
+
+
+def spaced_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words as an Arrow array, each with a space behind it, so that runs of them are text."""
+    lengths = (ends - starts).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(lengths + 1)])
+    out = np.full(int(bounds[-1]), 32, np.uint8)
+    if len(lengths):
+        within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        out[np.repeat(bounds[:-1], lengths) + within] = data[np.repeat(starts, lengths) + within]
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)])
