@@ -89,7 +89,12 @@ def test_windows_are_told_apart_by_their_words(monkeypatch):
 def test_a_block_gives_sources(spark):
     a, b = np.asarray([[1, 0, 0, 8]]).T, np.asarray([[2, 0, 5, 8]]).T
     text = " ".join(f"w{i}" for i in range(20)).encode()
-    squeezed = len(text).to_bytes(8, "little") + substrings.pa.compress(text, codec="zstd", asbytes=True)
+    squeezed = substrings._squeezed(text)
     block = substrings.ReferenceBlock([(substrings._packed(*b), squeezed), (substrings._packed(*a), squeezed), (substrings._packed(*a), squeezed)], 13)
     at, length, source = block.factors()
     assert [(block.docs[i], block.places[i], n, block.docs[s], block.places[s]) for i, n, s in zip(at, length, source, strict=True)] == [(2, 5, 8, 1, 0)]
+
+
+def test_packing_is_a_round_trip():
+    arrays = [np.asarray(x) for x in ([5, 5, -(1 << 63), (1 << 63) - 1], [-1, 0, 7, 7], [0, 0, 0, 0])]
+    assert np.array_equal(substrings._unpacked(substrings._packed(*arrays), 3), np.stack(arrays)) and substrings._unpacked(substrings._packed(*(np.zeros(0, int),) * 3), 3).shape == (3, 0)

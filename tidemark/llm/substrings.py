@@ -44,18 +44,27 @@ BLOCK_BYTES, TASK_BLOCKS, MOST_BLOCKS = 2 << 20, 4, 1 << 20
 #: The share of all phrases from which on a minimizer is frequent, and the least number of phrases.
 FREQUENT_SHARE, FREQUENT_LEAST = 1 / 65536, 4096
 
-_CODEC = "zstd"
+_CODEC, LEVEL = "zstd", 6
+
+
+def _squeezed(data: bytes | pa.Buffer) -> bytes:
+    """Compressed bytes, after their number before."""
+    return len(data).to_bytes(8, "little") + pa.Codec(_CODEC, LEVEL).compress(data, asbytes=True)
+
+
+def _restored(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec=_CODEC, asbytes=True)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Ids and small numbers, as differences, compressed, after their number of bytes."""
-    data = b"".join(np.diff(a.astype(np.int64), prepend=0).tobytes() for a in arrays)
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec=_CODEC, asbytes=True)
+    """Ids and small numbers as differences, compressed byte plane by byte plane."""
+    each = [np.diff(a.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
+    return _squeezed(b"".join(each))
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec=_CODEC, asbytes=True)
-    return np.cumsum(np.frombuffer(raw, np.int64).reshape(n, -1), axis=1)
+    planes = np.frombuffer(_restored(data), np.uint8).reshape(n, 8, -1)
+    return np.cumsum(planes.transpose(0, 2, 1).copy().view(np.int64)[:, :, 0], axis=1)
 
 
 def _stretched(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -299,7 +308,7 @@ def _phrases(blocks: int, window: int, frequent: np.ndarray):
             text = words.take(pa.array(_stretched(at[a], n + window - 1)))
             rows[0].append(int(block[lo]))
             rows[1].append(_packed(ids[doc[a]], salts[doc[a]], place[a], n))
-            rows[2].append(len(text.buffers()[2]).to_bytes(8, "little") + pa.Codec(_CODEC, 3).compress(text.buffers()[2], asbytes=True))
+            rows[2].append(_squeezed(text.buffers()[2]))
             rows[3].append(None)
             if sum(map(len, rows[2])) > 4 << 20:
                 yield _message(rows)
@@ -324,7 +333,7 @@ class ReferenceBlock:
     def __init__(self, messages: list[tuple[bytes, bytes]], window: int) -> None:
         words = []
         for _, w in messages:
-            data = np.frombuffer(pa.decompress(w[8:], int.from_bytes(w[:8], "little"), codec=_CODEC, asbytes=True), np.uint8)
+            data = np.frombuffer(_restored(w), np.uint8)
             words.append(spaced_words(data, *words_in(data, np.asarray([0, len(data)]))[:2]))
         codes = pa.concat_arrays(words).dictionary_encode().indices.to_numpy()
         phrases = np.concatenate([_unpacked(p, 4) for p, _ in messages], axis=1)
