@@ -1,13 +1,18 @@
 """Near-duplicate vectors by collision counting over projections.
 
-Vectors of unit length are projected on random lines.  Tables deal the rows by
-the intervals that a few of the lines are cut into, so that rows far apart on any
-of these lines rarely meet; within a dealt cell the rows are sorted on each of
-``LINES`` further lines, every row opens a window around its own value, and the
-windows' collisions are counted for each pair.  Pairs that pass a count which
-pairs at the threshold almost surely reach are verified by their cosine.  The
-number of tables is the least that finds a pair at the threshold with
-probability ``TARGET_RECALL``; a pair that meets in several counts in the first.
+Vectors of unit length are projected on random lines.  On each of ``LINES`` lines
+the rows are sorted, every row opens a window around its own value, and the
+windows' collisions are counted for each pair.  Pairs that reach a count which
+pairs at the threshold almost surely reach are verified by their cosine.
+
+A window that pairs at the threshold hardly miss holds a fifth of all rows, so
+counting over a whole table would take a share of all pairs.  Tables deal the rows
+first, by the intervals that a few further lines are cut into; lines are counted
+within each cell of a table.  The lines of a table grow with the logarithm of the
+rows, so that cells keep their size, and the number of tables is the least that
+finds a pair at the threshold with probability ``TARGET_RECALL``; it grows with
+about the fifth root of the rows.  A pair that meets in several tables counts in
+the first.
 """
 
 from __future__ import annotations
@@ -20,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_in_blocks, in_fewer_tasks, kept, linked_sets, runs_of
+from .common import components, deal_in_blocks, kept, runs_of
 
 TARGET_RECALL = 0.99
 #: Lines whose collisions are counted, and the half-width of a window in distances at the threshold.
-LINES, WINDOW = 32, 1.25
+LINES, WINDOW = 16, 1.25
 #: Rows that a cell of a table should have, the width of its intervals on a line, and the most rows compared at once.
 CELL_ROWS, INTERVAL, BLOCK_ROWS = 64, 1.5, 512
-MAX_LINES = 8
+#: Possible pairs that a task counts at once, unless one cell has more.
+COUNTED_PAIRS = 4 << 20
+#: Rows of cells that a task compares.
+TASK_ROWS = 200_000
 
 
 def normal_within(x: float) -> float:
@@ -49,7 +57,7 @@ def table_plan(rows: int, distance: float) -> tuple[int, int]:
     """Lines of each table, so that cells stay small, and the number of tables."""
     wide = INTERVAL / math.sqrt(2)
     apart = math.erf(wide / math.sqrt(2)) - math.sqrt(2 / math.pi) / wide * (1 - math.exp(-wide * wide / 2))
-    lines = min(MAX_LINES, max(1, math.ceil(math.log(max(rows, 1) / CELL_ROWS, 1 / apart)))) if rows > CELL_ROWS else 1
+    lines = max(1, math.ceil(math.log(rows / CELL_ROWS, 1 / apart))) if rows > CELL_ROWS else 1
     near = INTERVAL / distance
     same = math.erf(near / math.sqrt(2)) - math.sqrt(2 / math.pi) / near * (1 - math.exp(-near * near / 2))
     return lines, math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - same**lines))
@@ -66,76 +74,114 @@ def _gaussians(dimensions: int, lines: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dimensions]).standard_normal((dimensions, lines))
 
 
+def table_keys(unit: np.ndarray, lines: int, tables: int) -> np.ndarray:
+    """The cell of each row of ``unit`` in each table."""
+    d = unit.shape[1]
+    values = unit @ _gaussians(d, lines * tables, 1) / INTERVAL
+    values = np.floor(values + np.random.default_rng(2).random(lines * tables)).astype(np.int64).reshape(len(unit), tables, lines)
+    hashed = np.full(values.shape[:2], 1469598103934665603 + d, np.int64).view(np.uint64)
+    for k in range(lines):
+        hashed = (hashed ^ values[:, :, k].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        hashed ^= hashed >> np.uint64(29)
+    return (hashed + np.arange(tables, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95)).view(np.int64)
+
+
 def _dealt(lines: int, tables: int):
-    """Reads (rep, weight, vector) of equal dimension; gives the rows with their cell in each table."""
+    """Reads (rep, vector); gives the rows' ids with their cell in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.asarray([len(x) for x in batch.column(2)])
+            sizes = np.asarray([len(x) for x in batch.column(1)])
             for d in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == d))
-                values = _unit(part.column(2)) @ _gaussians(d, lines * tables, 1) / INTERVAL
-                values = np.floor(values + np.random.default_rng(2).random(lines * tables)).astype(np.int64).reshape(len(sizes[sizes == d]), tables, lines)
-                hashed = np.full(values.shape[:2], 1469598103934665603 + d, np.int64).view(np.uint64)
-                for k in range(lines):
-                    hashed = (hashed ^ values[:, :, k].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    hashed ^= hashed >> np.uint64(29)
-                hashed = hashed + np.arange(tables, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hashed.size + 1, tables, dtype=np.int32)), pa.array(hashed.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["rep", "weight", "vector", "keys"])
+                keys = table_keys(_unit(part.column(1)), lines, tables)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rep", "keys"])
 
     return run
 
 
-def collisions(values: np.ndarray, half: float) -> np.ndarray:
-    """For each two rows, in how many columns each lies in the other's window."""
-    n = len(values)
-    counts = np.zeros((n, n), np.uint8)
-    for line in values.T:
-        order = np.argsort(line)
-        ordered = line[order]
-        first, last = np.searchsorted(ordered, ordered - half, "left"), np.searchsorted(ordered, ordered + half, "right")
-        inside = np.arange(n)
-        inside = (inside >= first[:, None]) & (inside < last[:, None])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        counts += inside[rank][:, rank]
-    return counts
-
+def colliding_pairs(cells: np.ndarray, values: np.ndarray, half: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell that lie in each other's window on ``least`` lines or more.
 
-def _verified(threshold: float, distance: float):
-    """Reads cells of (cell, side, within, rep, weight, vector, keys, t); gives (node, root, links)."""
+    ``cells`` are ascending numbers; ``values`` has a column for each line.
+    """
+    n = len(cells)
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])[:n])
+    sizes = np.diff(np.append(first, n))
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    within = np.arange(n) - first[number]
+    bins = np.concatenate([[0], np.cumsum(sizes * sizes)])
+    span = 2 * half + 1 + float(values.max() - values.min()) if n else 1.0
+    hits = []
+    for line in values.T:
+        shifted = number * span + line
+        order = np.argsort(shifted)
+        ordered = shifted[order]
+        later = np.searchsorted(ordered, ordered + half, "right") - np.arange(1, n + 1)
+        a = np.repeat(np.arange(n), later)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later) + a + 1
+        i, j = order[a], order[b]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        hits.append(bins[number[i]] + within[i] * sizes[number[i]] + within[j])
+    found = np.flatnonzero(np.bincount(np.concatenate(hits)) >= least) if hits else np.zeros(0, np.int64)
+    cell = np.searchsorted(bins, found, "right") - 1
+    place = found - bins[cell]
+    return first[cell] + place // sizes[cell], first[cell] + place % sizes[cell]
+
+
+def least_linked(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each row the smallest id that links lead to."""
+    root = ids.copy()
+    while True:
+        least = np.minimum(root[i], root[j])
+        if (least == root[i]).all() and (least == root[j]).all():
+            return root
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+
+
+def _verified(threshold: float, distance: float, lines: int, tables: int):
+    """Reads cells of (cell, side, within, rep, weight, vector, t); gives (node, root, links)."""
+    least = least_collisions()
+
+    def counted(group: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        """Links within the given cells, whose vectors are of one dimension."""
+        sizes = [c.num_rows for c in group]
+        rows = pa.concat_tables(group).combine_chunks()
+        reps, side, weight, t = (rows.column(c).to_numpy() for c in ("rep", "side", "weight", "t"))
+        within = rows.column("within").to_numpy(zero_copy_only=False)
+        unit = _unit(rows.column("vector"))
+        i, j = colliding_pairs(np.repeat(np.arange(len(sizes)), sizes), unit @ _gaussians(unit.shape[1], LINES, 3), WINDOW * distance, least)
+        on = within[i] | (side[i] != side[j])
+        i, j = i[on], j[on]
+        near = [np.einsum("ij,ij->i", unit[i[lo : lo + 65536]], unit[j[lo : lo + 65536]]) >= threshold for lo in range(0, len(i), 65536)]
+        if not near or not (near := np.concatenate(near)).any():
+            return
+        i, j = i[near], j[near]
+        some, inverse = np.unique(np.concatenate([i, j]), return_inverse=True)
+        keys = np.concatenate([table_keys(unit[some[lo : lo + 4096]], lines, tables) for lo in range(0, len(some), 4096)])
+        a, b = inverse[: len(i)], inverse[len(i) :]
+        earlier = [((keys[a[lo : lo + 65536]] == keys[b[lo : lo + 65536]]) & (np.arange(tables) < t[i[lo : lo + 65536], None])).any(1) for lo in range(0, len(i), 65536)]
+        fresh = ~np.concatenate(earlier)
+        a, b, ids, weight = a[fresh], b[fresh], reps[some], weight[some]
+        links = (np.bincount(a, weight[b], len(some)) + np.bincount(b, weight[a], len(some))).astype(np.int64)
+        root = least_linked(ids, a, b)
+        has = links > 0
+        if has.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[has].astype(np.int64)) for x in (ids, root, links)], names=["node", "root", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = least_collisions()
-        out: list[np.ndarray] = []
+        group, pairs, width = [], 0, 0
         for cell in runs_of(batches, "cell"):
-            cell = cell.combine_chunks()
-            reps, side, weight = (cell.column(c).to_numpy() for c in ("rep", "side", "weight"))
-            unit = _unit(cell.column("vector"))
-            linked = collisions(unit @ _gaussians(unit.shape[1], LINES, 3), WINDOW * distance) >= least
-            np.fill_diagonal(linked, False)
-            if not cell.column("within")[0].as_py():
-                linked &= side[:, None] != side[None, :]
-            i, j = np.nonzero(linked)
-            keys = cell.column("keys").combine_chunks().flatten().to_numpy().reshape(len(reps), -1)
-            before = keys[:, : cell.column("t")[0].as_py()]
-            for lo in range(0, len(i), 65536):
-                a, b = i[lo : lo + 65536], j[lo : lo + 65536]
-                linked[a, b] = (np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold) & ~(before[a] == before[b]).any(1)
-            linked &= linked.T
-            root = reps.copy()
-            for part in linked_sets(linked):
-                root[part] = reps[part].min()
-            links = linked @ weight
-            some = np.flatnonzero(links)
-            if len(some):
-                out.append(np.stack([reps[some], root[some], links[some]]))
-            if len(out) > 500:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1).astype(np.int64)], names=["node", "root", "links"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1).astype(np.int64)], names=["node", "root", "links"])
+            d = len(cell.column("vector")[0])
+            if group and (pairs + cell.num_rows**2 > COUNTED_PAIRS or d != width):
+                yield from counted(group)
+                group, pairs = [], 0
+            group.append(cell)
+            pairs, width = pairs + cell.num_rows**2, d
+        if group:
+            yield from counted(group)
 
     return run
 
@@ -159,17 +205,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     sound = "vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vector, x -> x <> 0)"
     rows = rows.withColumn("vector", F.when(F.expr(sound) & F.col("vec_id").isNotNull(), F.col("vector")))
     copies = kept(rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
-    lines, tables = table_plan(copies.count(), distance)
-    dealt = copies.select("rep", "weight", "vector").mapInArrow(_dealt(lines, tables), f"rep long, weight long, vector {kind}, keys array<long>")
+    n = copies.count()
+    lines, tables = table_plan(n, distance)
+    dealt = copies.select("rep", "vector").mapInArrow(_dealt(lines, tables), "rep long, keys array<long>")
     # Cells are made of ids alone; vectors join when it is known which cells they go to.
     cells = deal_in_blocks(dealt.select("rep", F.posexplode("keys").alias("t", "key")), "key", "rep", BLOCK_ROWS).select("cell", "side", "within", "rep", "t")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.join(dealt, "rep").select("cell", "side", "within", "rep", "weight", "vector", "keys", "t").repartition(tasks, "cell").sortWithinPartitions("cell")
-    verified = kept(cells.mapInArrow(_verified(threshold, distance), "node long, root long, links long"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * tables // TASK_ROWS)
+    cells = cells.join(copies, "rep").select("cell", "side", "within", "rep", "weight", "vector", "t").repartition(tasks, "cell").sortWithinPartitions("cell")
+    verified = kept(cells.mapInArrow(_verified(threshold, distance, lines, tables), "node long, root long, links long"))
     classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     linked = copies.join(links, F.col("rep") == F.col("node"), "left").drop("node").join(classes, F.col("rep") == F.col("node"), "left")
     linked = linked.select("vector", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    told = in_fewer_tasks(rows.join(linked, "vector", "left"))
+    told = rows.join(linked, "vector", "left")
     component = F.coalesce("component", "vec_id")
     return told.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
