@@ -238,8 +238,8 @@ def test_jaccard_join(spark, docs, none):
 
 
 def test_runs_reach_the_recall():
-    n, p = near.runs_needed(0.8), 0.8 ** (near.SPLITS + 1)
-    assert 1 - (1 - p) ** n >= near.TARGET_RECALL
+    n, p = near.runs_needed(0.8), 0.8 * near.survival(0.8)
+    assert 1 - (1 - p) ** n >= near.TARGET_RECALL and abs(near.survival(0.8) - 0.9375) < 1e-9
 
 
 def test_urls(spark):

@@ -12,6 +12,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges of a partition in the rounds that find components.
+ROUND_ROWS = 200_000
 #: The characters that separate words, as the body of a character class.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
@@ -87,15 +89,6 @@ def join_apart(rows: DataFrame, grouped: DataFrame, key: str) -> DataFrame:
     return left.join(right, ["key_hash", key]).drop("key_hash").hint("rebalance")
 
 
-def in_fewer_tasks(df: DataFrame, times: int = 4) -> DataFrame:
-    """The same rows from a fraction of the session's shuffle partitions.
-
-    For results that are small beside what was shuffled for them: each task
-    writes a file, and many small files cost more than the tasks they save.
-    """
-    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // times))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, the smallest node of each.
 
@@ -123,13 +116,12 @@ def components(edges: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(sides).alias("e")).groupBy("e.n").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("all"))
         return ends.where("up > 1 or (up = 1 and all > 1)").isEmpty()
 
-    def small(pairs: DataFrame) -> DataFrame:
-        """Edges are few beside what they link, and so are their files."""
-        return cut(in_fewer_tasks(pairs, 12))
-
-    current = small(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not settled(current):
-        current = small(star(star(current, True), False))
+        # A round never adds edges, so their number now bounds the partitions that the next needs.
+        enough = current.count() // ROUND_ROWS + 1
+        after = star(star(current, True), False)
+        current = cut(after.coalesce(enough) if enough < int(current.sparkSession.conf.get("spark.sql.shuffle.partitions")) else after)
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()
 

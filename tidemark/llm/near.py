@@ -1,13 +1,16 @@
 """N-gram Jaccard join by chosen paths.
 
 Documents are sets of hashed runs of five words.  Each set is embedded as 64
-minhash coordinates.  A run of the join starts each set in the node of one
-coordinate's value; a node with more than ``NODE_ROWS`` sets is split again by a
-coordinate that the node's path chooses, and again, so that sets part quickly
-unless they share most of their tokens.  Nodes that are small, or that further
-splits would not part, are compared by brute force on the coordinates; oversized
-ones in blocks, each pair of blocks a task of its own.  Runs are repeated until a
-pair at the threshold is found with probability ``TARGET_RECALL`` at least.
+minhash coordinates, of which each holds a sampled token.  A run of the join
+starts each set in the node of one coordinate's value, hence among the sets that
+share this token.  A node with more than ``NODE_ROWS`` sets is split, again and
+again, by two coordinates that its path chooses: a set goes to the two children
+of its values there.  A pair with similarity 0.8 goes on together in one child at
+least with probability 0.96, and through any number of splits in 0.9375 of all
+cases.  Splitting ends where a node is small, or where it keeps more than half of
+what its parent had, so that most of its pairs are alike and all are compared, in
+blocks, each pair of blocks a task of its own.  Runs are repeated until a pair at
+the threshold is found with probability ``TARGET_RECALL`` at least.
 
 The pairs found are joined into candidate groups, whose texts are read again and
 compared exactly, in blocks too.  Documents with the same words are one set from
@@ -25,21 +28,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_in_blocks, in_fewer_tasks, kept, linked_sets, partitions_for, runs_of, written
+from .common import components, deal_in_blocks, kept, linked_sets, partitions_for, runs_of, written
 from .words import WordHasher, mixed, rolled, stretches, texts_of, words_in
 
 #: Coordinates of the embedding; the first of them start the runs.
 COORDINATES = 64
 TARGET_RECALL = 0.995
-#: How often a node may be split, and the sets from which on it is.
-SPLITS, NODE_ROWS = 2, 512
-#: Sets and words of a candidate group that one block has; two blocks are compared at once.
-GROUP_ROWS, GROUP_WORDS = 128, 150_000
+#: Sets from which on a node is split, the children that each of its sets goes to, and the share of it that a child must fall below.
+NODE_ROWS, CHILDREN, PARTS = 512, 2, 0.5
+#: Sets of a node that one block has; two blocks are compared at once.
+BLOCK_ROWS = 192
+#: The same for a candidate group, and the words of its sets.
+GROUP_ROWS, GROUP_WORDS = 256, 300_000
+
+
+def survival(threshold: float) -> float:
+    """The chance that a pair at ``threshold`` stays together in some child, however often its node is split."""
+    lost = 0.0
+    for _ in range(1000):
+        lost = (1 - threshold + threshold * lost) ** CHILDREN
+    return 1 - lost
 
 
 def runs_needed(threshold: float, recall: float = TARGET_RECALL) -> int:
-    """Runs until a pair at ``threshold`` shares a node of full depth in one of them."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold ** (SPLITS + 1)))
+    """Runs until a pair at ``threshold`` meets in a last node in one of them."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold * survival(threshold)))
 
 
 def least_equal(threshold: float) -> int:
@@ -77,7 +90,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, hasher: WordHasher, k: in
 
 
 def _embedded(k: int, runs: int):
-    """Reads (doc_id, text); gives (doc_id, d1, d2, nodes of each depth, sketch)."""
+    """Reads (doc_id, text); gives (doc_id, d1, d2, words, first nodes, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -94,22 +107,13 @@ def _embedded(k: int, runs: int):
                     for c in range(COORDINATES):
                         least[c, has] = np.minimum.reduceat(shingles * odd[c], at)
                 least = mixed(least)
-                depths = [mixed(least[r] + np.uint64((r + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) for r in range(runs)]
-                paths = np.stack(depths, 1)
-                levels = [paths]
-                for _ in range(SPLITS):
-                    choice = np.uint64(runs) + paths % np.uint64(COORDINATES - runs)
-                    paths = mixed(paths * np.uint64(3) + least[choice.astype(np.int64), np.arange(n)[:, None]])
-                    levels.append(paths)
+                roots = np.stack([mixed(least[r] + np.uint64((r + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) for r in range(runs)], 1)
                 empty = np.ones(n, bool)
                 empty[has] = False
-                nodes = np.stack(levels, 2).view(np.int64).reshape(n, runs, SPLITS + 1)
                 sketch = (least & np.uint64(255)).astype(np.uint8).T.copy()
-                flat = pa.array(nodes.reshape(-1))
-                inner = pa.ListArray.from_arrays(pa.array(np.arange(0, n * runs * (SPLITS + 1) + 1, SPLITS + 1, dtype=np.int32)), flat)
-                outer = pa.ListArray.from_arrays(pa.array(np.arange(0, n * runs + 1, runs, dtype=np.int32)), inner)
+                nodes = pa.ListArray.from_arrays(pa.array(np.arange(0, n * runs + 1, runs, dtype=np.int32)), pa.array(roots.view(np.int64).reshape(-1)))
                 sketches = pa.array([None if e else s.tobytes() for e, s in zip(empty, sketch, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(counts), outer, sketches], names=["doc_id", "d1", "d2", "words", "nodes", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(counts), nodes, sketches], names=["doc_id", "d1", "d2", "words", "nodes", "sketch"])
 
     return run
 
@@ -201,6 +205,37 @@ def _verified(k: int, threshold: float):
     return run
 
 
+def split(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(rep, key)``: the last nodes of the sets ``(rep, sketch)`` that start in ``nodes(rep, key, used)``.
+
+    ``used`` has a bit for each coordinate of the node's path.  Every round is a
+    table in the shared folder, which holds the sets of large nodes alone; as a child
+    that is split again has at most half of the sets of its parent, there are no more
+    rounds than the logarithm of the sets.
+    """
+    unused = f"filter(sequence(0, {COORDINATES - 1}), i -> shiftrightunsigned(used, i) & 1L = 0)"
+    # Two different coordinates, by hashes of the path.
+    picks = ["get(free, cast(pmod(xxhash64(key), size(free)) as int))", "get(free, cast(pmod(pmod(xxhash64(key), size(free)) + 1 + pmod(xxhash64(key, 7L), size(free) - 1), size(free)) as int))"]
+    child = [f"named_struct('key', xxhash64(key, {p}, substring(sketch, {p} + 1, 1)), 'used', used | shiftleft(1L, {p}))" for p in picks]
+    done, current, parents = [], nodes.withColumn("parent", F.lit(None).cast("long")), None
+    while True:
+        large = current.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent")).where(F.col("n") > NODE_ROWS)
+        if parents is not None:
+            large = large.join(parents.select(F.col("key").alias("parent"), F.col("n").alias("parent_n")), "parent").where(F.col("n") <= PARTS * F.col("parent_n"))
+        # Large nodes are few; written, their size is known and decides how they are joined.
+        large = written(large.select("key", "n"))
+        done.append(current.join(large.select("key"), "key", "left_anti").select("rep", "key"))
+        if large.isEmpty():
+            break
+        inside = current.join(large.select("key"), "key", "left_semi").join(sets, "rep").withColumn("free", F.expr(unused))
+        current = written(inside.select("rep", F.col("key").alias("parent"), F.explode(F.array(*map(F.expr, child))).alias("c")).select("rep", "parent", "c.key", "c.used"))
+        parents = large
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links`` of every row: near-duplicate groups of documents.
 
@@ -213,24 +248,20 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     Repeated rows count as copies.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    runs, tasks = runs_needed(threshold), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs_needed(threshold)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    embedded = kept(rows.mapInArrow(_embedded(k, runs), "doc_id long, d1 long, d2 long, words long, nodes array<array<long>>, sketch binary"))
+    embedded = kept(rows.mapInArrow(_embedded(k, runs), "doc_id long, d1 long, d2 long, words long, nodes array<long>, sketch binary"))
 
     known = embedded.where("doc_id is not null and sketch is not null")
     # Documents with the same words have the same shingles, so any one's nodes and sketch serve.
     same = [F.first(c).alias(c) for c in ("words", "nodes", "sketch")]
     sets = kept(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), *same))
     copies = sets.select("d1", "d2", "rep", "weight", "words")
-    node = sets.select("rep", F.explode("nodes").alias("node")).select("rep", *(F.col("node")[i].alias(f"k{i}") for i in range(SPLITS + 1)))
-    node = node.withColumn("key", F.col("k0"))
-    for depth in range(SPLITS):
-        # Oversized nodes are few; written, their size is known and decides how they are joined.
-        large = written(in_fewer_tasks(node.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE_ROWS).select(F.col("key").alias("large")), 12))
-        node = node.join(large, F.col("key") == F.col("large"), "left").withColumn("key", F.when(F.col("large").isNotNull(), F.col(f"k{depth + 1}")).otherwise(F.col("key"))).drop("large")
+    node = split(sets.select("rep", "sketch"), sets.select("rep", F.posexplode("nodes").alias("run", "key")).selectExpr("rep", "key", "shiftleft(1L, run) as used"))
     # Most sets are alone in their nodes; only the others' sketches travel.
-    cells = deal_in_blocks(node.select("key", "rep"), "key", "rep", NODE_ROWS).select("cell", "rep").join(sets.select("rep", "sketch"), "rep").select("cell", "rep", "sketch")
+    cells = deal_in_blocks(node, "key", "rep", BLOCK_ROWS).select("cell", "rep").join(sets.select("rep", "sketch"), "rep").select("cell", "rep", "sketch")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_compared(least_equal(threshold)), "a long, b long")
     groups = components(found)
 
@@ -247,7 +278,6 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     linked = copies.join(links.withColumnRenamed("node", "rep"), "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     linked = linked.select("d1", "d2", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     told = embedded.select("doc_id", "d1", "d2", (F.col("doc_id").isNotNull() & F.col("sketch").isNotNull()).alias("has")).join(linked, ["d1", "d2"], "left")
-    told = in_fewer_tasks(told)
     return told.select("doc_id", F.when(F.col("has"), F.col("class")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("has"), F.col("links")).otherwise(0).cast("long").alias("n_links"))
 
 
