@@ -65,8 +65,11 @@ def micros_literal(us: int) -> Column:
 
 
 def rfc3339(ns: Column) -> Column:
-    """UTC text of nanoseconds, fraction without trailing zeros."""
+    """UTC text of nanoseconds, fraction without trailing zeros, whatever the session's zone."""
     seconds = F.floor(ns / F.lit(10**9).cast("decimal(20,0)")).cast("bigint")
-    base = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.rtrim(F.lpad((ns - seconds * 10**9).cast("string"), 9, "0"), F.lit("0"))
-    return F.concat(base, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)), F.lit("Z"))
+    days = F.floor(seconds / F.lit(86400).cast("decimal(20,0)")).cast("int")
+    rest = seconds - days.cast("bigint") * 86400
+    two = lambda x: F.lpad(F.floor(x).cast("bigint").cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(rest / 3600), two(rest % 3600 / 60), two(rest % 60))
+    fraction = F.rtrim(F.lpad(F.pmod(ns, F.lit(10**9).cast("bigint")).cast("string"), 9, "0"), F.lit("0"))
+    return F.concat(F.date_from_unix_date(days).cast("string"), F.lit("T"), clock, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)), F.lit("Z"))
