@@ -90,18 +90,60 @@ def test_zeta_against_a_plain_sum():
     assert costs.zeta_of(3, 1, 1, 0, 5, 4, 1) == 0 and costs.zeta_of(3, 1, 1, 5, 0, 4, 1) == 0
 
 
-def test_coupled_averages(spark):
+def test_coupled_averages(spark, monkeypatch):
     rng = random.Random(1)
     rows = [("a", i, rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(60)]
     first = second = 0.0
     for _, _, td, tg in rows:
         first = (td + second) / 2 if td > 0 else first
         second = (tg + first) / 2 if tg > 0 else second
-    (got,) = reports.coupled_averages(spark.createDataFrame(rows, "k string, at int, td double, tg double").repartition(4), "k", "at").collect()
-    assert np.allclose([got.avg_td, got.avg_tg], [first, second])
+    df = spark.createDataFrame(rows, "k string, at int, td double, tg double").repartition(4)
+    for chunk in (4096, 3):  # chunks of chunks of chunks
+        monkeypatch.setattr(reports, "CHUNK", chunk)
+        (got,) = reports.coupled_averages(df, "k", "at").collect()
+        assert np.allclose([got.avg_td, got.avg_tg], [first, second])
+        latest = reports.running_latency(df, "k", "at", "td").collect()
+        assert len(latest) == 60 and all(np.isclose(r.latency, np.mean([x[2] for x in rows[max(0, r["at"] - 3) : r["at"] + 1]])) for r in latest)
+    assert reports.coupled_averages(df.limit(0), "k", "at").count() == 0
 
 
 def test_separation(spark):
     df = spark.createDataFrame([(40.0, 4.0, 10.0, 100.0), (5.0, 4.0, 10.0, 100.0)], "z double, n double, k double, v double")
     decided = [r[0] for r in df.select(costs.separates(F.col("z"), F.col("n"), F.col("k"), F.col("v"), F.lit(20.0))).collect()]
     assert decided == [False, True]
+
+
+def test_component_of_the_heaviest_edges(spark):
+    rng = random.Random(4)
+    for budget in (2, 4, 7):
+        edges = [(i, j, rng.choice([0.1, 0.5, 0.9, rng.random()])) for i in range(14) for j in range(i + 1, 14) if rng.random() < 0.6]
+        top = [tuple(r) for r in garbage.heaviest(spark.createDataFrame(edges, "i bigint, j bigint, weight double"), budget).collect()]
+        assert len(top) <= 14 * budget and garbage.component(top, budget) == garbage.component(edges, budget) == slow_component(edges, budget)
+
+
+def slow_component(edges, budget):
+    ordered, chosen = sorted(edges, key=lambda e: (-e[2], e[0], e[1])), set()
+    while len(chosen) < budget and (start := next((e for e in ordered if not {e[0], e[1]} <= chosen), None)):
+        part = {start[0], start[1]}
+        chosen |= part
+        while len(chosen) < budget and (step := next((e for e in ordered if (e[0] in part or e[1] in part) and not {e[0], e[1]} <= chosen), None)):
+            part |= {step[0], step[1]}
+            chosen |= part
+    return sorted(chosen)
+
+
+def test_planner_takes_and_gives_back():
+    p, g = c.Planner(), gens(*[1] * 16)
+    level, first = p.next_group(g, {}, 4)
+    assert level == 1 and first == [x.files[0] for x in g[:8]]
+    assert not p.acquire([first]) and [x.id for x in p.free(g)] == list(range(9, 17))
+    assert p.next_group(g, {1: 1}, 4)[1] == [x.files[0] for x in g[8:]] and p.next_group(g, {1: 2}, 4) is None
+    p.release([first])
+    p.force_full()
+    assert p.queues(g)[4] == [sorted(first)] and p.queues(g)[1] == [first]
+
+
+def test_metric_lines(spark):
+    df = spark.createDataFrame([(30.0,), (80.5,), (700.0,)], "d double")
+    lines = [r.line for r in reports.exposition(reports.histogram_metrics(reports.delay_classes(df, "d"), "wait")).collect()]
+    assert lines == ['wait_bucket{le="50"} 1', 'wait_bucket{le="100"} 2', 'wait_bucket{le="500"} 2', 'wait_bucket{le="+Inf"} 3', "wait_count 3", "wait_sum 810.5"]

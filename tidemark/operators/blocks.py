@@ -11,19 +11,20 @@ from ..model import BLOCK_POINTS, DAY_NS, PACKED_MAX, SCALE_MAX
 SERIES = ["key", "field"]
 
 
-def numbered(points: DataFrame, bucket_ns: int = DAY_NS) -> DataFrame:
-    """Number each series field's points in time order, from 0, as ``place``.
+def numbered(points: DataFrame, by: list[str] = SERIES, at: str = "ts_ns", bucket_ns: int = DAY_NS) -> DataFrame:
+    """Number each series field's points in time order, from 0, as ``place``; those of one time by ``seq``.
 
     Rows are numbered within buckets of time, and each bucket starts after those
     before it, so a series with very many points is spread over its days and
     only counts by bucket meet in one place.
     """
-    bucketed = points.withColumn("bucket", F.expr(f"floor(ts_ns / {bucket_ns}D)"))
-    counts = bucketed.groupBy(*SERIES, "bucket").agg(F.count(F.lit(1)).alias("n_before"))
-    before = F.sum("n_before").over(Window.partitionBy(*SERIES).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*SERIES, "bucket", F.coalesce(before, F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy(*SERIES, "bucket").orderBy("ts_ns")) - 1
-    return bucketed.withColumn("own", own).join(starts, [*SERIES, "bucket"]).withColumn("place", F.col("start") + F.col("own")).drop("bucket", "own", "start")
+    order = [at] + (["seq"] if "seq" in points.columns else [])
+    bucketed = points.withColumn("bucket", F.expr(f"floor({at} / {bucket_ns}D)"))
+    counts = bucketed.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n_before"))
+    before = F.sum("n_before").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*by, "bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(*order)) - 1
+    return bucketed.withColumn("own", own).join(starts, [*by, "bucket"]).withColumn("place", F.col("start") + F.col("own")).drop("bucket", "own", "start")
 
 
 def with_blocks(points: DataFrame, size: int = BLOCK_POINTS) -> DataFrame:
@@ -31,9 +32,14 @@ def with_blocks(points: DataFrame, size: int = BLOCK_POINTS) -> DataFrame:
     return numbered(points).withColumn("block", F.floor(F.col("place") / size).cast("bigint")).drop("place")
 
 
+def _within(blocked: DataFrame):
+    """The order of a block's points."""
+    return Window.partitionBy(*SERIES, "block").orderBy("ts_ns", *(["seq"] if "seq" in blocked.columns else []))
+
+
 def deltas(blocked: DataFrame, value: str) -> DataFrame:
     """``delta``: each point's difference from the one before in its block, the first's from 0."""
-    order = Window.partitionBy(*SERIES, "block").orderBy("ts_ns")
+    order = _within(blocked)
     return blocked.withColumn("delta", F.col(value) - F.coalesce(F.lag(value).over(order), F.lit(0)))
 
 
@@ -61,7 +67,7 @@ def file_stats(points: DataFrame, file: Column, deleted: DataFrame | None = None
 
 def timestamp_encoding(blocked: DataFrame) -> DataFrame:
     """The encoding of each block's times, with the deltas' scale: rle, packed or raw."""
-    order = Window.partitionBy(*SERIES, "block").orderBy("ts_ns")
+    order = _within(blocked)
     spaced = blocked.withColumn("delta", F.col("ts_ns") - F.lag("ts_ns").over(order))
     scales = spaced.groupBy(*SERIES, "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("delta").alias("least"), F.max("delta").alias("most"), F.min(F.when(F.col("delta").isNotNull(), scale_of(F.col("delta")))).alias("scale")
@@ -71,9 +77,21 @@ def timestamp_encoding(blocked: DataFrame) -> DataFrame:
 
 
 def integer_encoding(blocked: DataFrame, value: str = "v_int") -> DataFrame:
-    """The encoding of each block's integers: zigzag of deltas, the first from 0."""
-    order = Window.partitionBy(*SERIES, "block").orderBy("ts_ns")
-    coded = deltas(blocked, value).withColumn("zz", zigzag(F.col("delta"))).withColumn("nth", F.row_number().over(order))
+    """The encoding of each block's integers: zigzag of deltas, the first from 0.
+
+    Unsigned numbers are encoded by their 64 bits taken as a signed number, and
+    differences wrap around.
+    """
+    if dict(blocked.dtypes)[value].startswith("decimal"):
+        top = F.lit(str(1 << 63)).cast("decimal(21,0)")
+        bits = F.when(F.col(value) >= top, F.col(value).cast("decimal(21,0)") - 2 * top).otherwise(F.col(value).cast("decimal(21,0)"))
+        blocked = blocked.withColumn(value, bits.cast("bigint"))
+    order = _within(blocked)
+    # As decimals, since differences of 64-bit numbers need 65 bits; brought back by wrapping around.
+    wide = F.col(value).cast("decimal(21,0)") - F.coalesce(F.lag(value).over(order), F.lit(0)).cast("decimal(21,0)")
+    turn, half = F.lit(str(1 << 64)).cast("decimal(22,0)"), F.lit(str(1 << 63)).cast("decimal(22,0)")
+    wrapped = F.when(wide >= half, wide - turn).when(wide < -half, wide + turn).otherwise(wide).cast("bigint")
+    coded = blocked.withColumn("delta", wrapped).withColumn("zz", zigzag(F.col("delta"))).withColumn("nth", F.row_number().over(order))
     later = F.when(F.col("nth") > 1, F.col("zz"))
     stats = coded.groupBy(*SERIES, "block").agg(F.count(F.lit(1)).alias("n"), F.min(later).alias("least"), F.max(later).alias("most"), F.max("zz").alias("top"), F.min("zz").alias("low"))
     # As bits of an unsigned number, a negative one is beyond the packed format.
@@ -81,6 +99,21 @@ def integer_encoding(blocked: DataFrame, value: str = "v_int") -> DataFrame:
     return stats.select(*SERIES, "block", "n", choice.alias("encoding"))
 
 
+def read_order(locations: DataFrame, by: list[str] = SERIES) -> DataFrame:
+    """``place``: the order in which a read visits blocks ``(ts_min, ts_max, generation, sequence)``, from 1.
+
+    Blocks whose times overlap, directly or through others, are visited by
+    generation and sequence, the older file first, so that newer values come later
+    and win; sets of them that do not overlap are visited in time order.
+    """
+    order = Window.partitionBy(*by).orderBy("ts_min", "ts_max", "generation", "sequence")
+    reach = F.max("ts_max").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = locations.withColumn("opens", F.when(reach.isNull() | (F.col("ts_min") > reach), 1).otherwise(0))
+    sets = opens.withColumn("of_set", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    visit = Window.partitionBy(*by).orderBy("of_set", "generation", "sequence", "ts_min", "ts_max")
+    return sets.withColumn("place", F.row_number().over(visit).cast("bigint")).drop("opens", "of_set")
+
+
 def rejected_floats(points: DataFrame) -> DataFrame:
     """Float points that cannot be encoded: not a number."""
     return points.where((F.col("ftype") == "Float") & F.isnan("v_float"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import LIFECYCLE_DAYS
@@ -47,12 +48,16 @@ def edge_weights(files: DataFrame, keys: DataFrame) -> DataFrame:
 
     ``files(file_id, size, valid)``, ``keys(file_id, key)``.  With ``r`` the valid
     share of both, ``J`` common and ``U`` all keys: ``(1 - r + J/U) / (1 + r - 1/U)``.
+    A key's list has each file once, so its length is bounded by the files; the
+    graph itself has no more rows than pairs of files.
     """
     own = keys.select("file_id", "key").distinct()
     counts = own.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     info = files.join(counts, "file_id").select("file_id", "size", "valid", "n")
-    a, b = own.select(F.col("file_id").alias("i"), "key"), own.select(F.col("file_id").alias("j"), "key")
-    pairs = a.join(b, "key").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("common"))
+    # Keys with the same files are counted together before their pairs are made.
+    lists = own.groupBy("key").agg(F.sort_array(F.collect_list("file_id")).alias("files")).where(F.size("files") > 1).groupBy("files").agg(F.count(F.lit(1)).alias("n_keys"))
+    first = lists.select("n_keys", "files", F.posexplode("files").alias("at", "i"))
+    pairs = first.select("n_keys", "i", F.explode(F.expr("slice(files, at + 2, size(files))")).alias("j")).groupBy("i", "j").agg(F.sum("n_keys").alias("common"))
     named = lambda s: info.select(*(F.col(c).alias(f"{c}_{s}") for c in info.columns))
     both = pairs.join(named("i"), F.col("i") == F.col("file_id_i")).join(named("j"), F.col("j") == F.col("file_id_j"))
     union = F.col("n_i") + F.col("n_j") - F.col("common")
@@ -60,24 +65,54 @@ def edge_weights(files: DataFrame, keys: DataFrame) -> DataFrame:
     return both.select("i", "j", "common", union.alias("all"), ((1 - r + F.col("common") / union) / (1 + r - 1 / union)).alias("weight"))
 
 
+def heaviest(edges: DataFrame, budget: int) -> DataFrame:
+    """Of ``edges(i, j, weight)`` those that :func:`component` may follow: the ``budget`` heaviest of each file.
+
+    A part of at most ``budget`` files has fewer than ``budget`` neighbours of a file
+    inside, so its best way out of that file is among these.  As many rows as files
+    times ``budget`` at most.
+    """
+    ends = F.array(F.col("i"), F.col("j"))
+    order = Window.partitionBy("file").orderBy(F.col("weight").desc(), "i", "j")
+    ranked = edges.select("i", "j", "weight", F.explode(ends).alias("file")).withColumn("nth", F.row_number().over(order))
+    return ranked.where(F.col("nth") <= budget).select("i", "j", "weight").distinct()
+
+
 def component(edges: Iterable[tuple[int, int, float]], budget: int) -> list[int]:
     """Grow a set of files along the heaviest edges until it has ``budget`` of them.
 
     Each part starts from the heaviest edge not wholly inside; the heaviest edge
-    that touches the part is added next.  Ends when no edge is left.
+    that touches the part is added next.  Ends when no edge is left.  Edges are
+    taken from queues, each once.
     """
-    ordered = sorted(edges, key=lambda e: (-e[2], e[0], e[1]))
+    ordered = sorted((-w, i, j) for i, j, w in edges)
+    of: dict[int, list[tuple]] = {}
+    for e in ordered:
+        for end in e[1:]:
+            of.setdefault(end, []).append(e)
     chosen: set[int] = set()
-    while len(chosen) < budget:
-        start = next((e for e in ordered if not {e[0], e[1]} <= chosen), None)
-        if start is None:
-            break
-        part = {start[0], start[1]}
-        chosen |= part
-        while len(chosen) < budget:
-            step = next((e for e in ordered if (e[0] in part or e[1] in part) and not {e[0], e[1]} <= chosen), None)
-            if step is None:
-                break
-            part |= {step[0], step[1]}
-            chosen |= part
+    at = 0
+    while len(chosen) < budget and at < len(ordered):
+        start = ordered[at]
+        if set(start[1:]) <= chosen:
+            at += 1
+            continue
+        queue: list[tuple] = []
+        grown: set[int] = set()
+
+        def take(file: int, queue=queue, grown=grown) -> None:
+            if file not in grown:
+                grown.add(file)
+                for e in of[file]:
+                    heapq.heappush(queue, e)
+
+        for file in start[1:]:
+            take(file)
+        chosen |= grown
+        while queue and len(chosen) < budget:
+            edge = heapq.heappop(queue)
+            if not set(edge[1:]) <= chosen:
+                for file in edge[1:]:
+                    take(file)
+                chosen |= grown
     return sorted(chosen)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import lifecycle_ns, value_bytes
 from ..model import VALUE_COLUMNS
+from .ranges import bucket_array, classes_of, in_classes
 
 IDENTITY = ["key", "field", "ts_ns"]
 
@@ -16,7 +17,8 @@ def last_write_wins(points: DataFrame) -> DataFrame:
 
     Each column is aggregated by itself: what a reader does not select is not
     carried, and numbers stay in a hash aggregate with a partial one before the
-    only shuffle.
+    only shuffle.  ``seq`` must tell the writes of an identity apart, as a store's
+    does; of writes with an equal one, columns may come from either.
     """
     carried = [c for c in points.columns if c not in (*IDENTITY, "seq")]
     return points.groupBy(*IDENTITY).agg(*(F.max_by(c, "seq").alias(c) for c in carried), F.max("seq").alias("seq")).select(*points.columns)
@@ -104,10 +106,49 @@ def bounds(points: DataFrame) -> DataFrame:
     return points.groupBy("key", "field").agg(F.min("ts_ns").alias("ts_min"), F.max("ts_ns").alias("ts_max"), F.count(F.lit(1)).alias("n"), F.sum(value_bytes()).alias("n_bytes"))
 
 
-def unexpired(points: DataFrame, now_ns: int) -> DataFrame:
-    """Points that their life-cycle still keeps at ``now_ns``; unknown life-cycles are dropped."""
+def unexpired(points: DataFrame, now_ns: int, tombstones: DataFrame | None = None) -> DataFrame:
+    """Points that their life-cycle still keeps at ``now_ns``; unknown life-cycles are dropped.
+
+    With ``tombstones`` those that a later delete covers are dropped too.
+    """
     ttl = lifecycle_ns(F.col("lifecycle"))
-    return points.where((ttl < 0) | (F.col("ts_ns") >= F.lit(now_ns) - ttl))
+    kept = points.where((ttl < 0) | (F.col("ts_ns") >= F.lit(now_ns) - ttl))
+    return kept if tombstones is None else apply_tombstones(kept, tombstones)
+
+
+def apply_many_tombstones(points: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """:func:`apply_tombstones` for very many deletes of one series.
+
+    Deletes of a whole series are one number for each key and field.  The others
+    are put into classes by length and, in a class, into buckets as wide as its
+    longest range, so each lies in two buckets at most and a point meets only those
+    of its own bucket in each class that occurs.
+    """
+    lowest, highest = -(1 << 63), (1 << 63) - 1
+    t = tombstones.withColumn("whole", (F.col("ts_min") == lowest) & (F.col("ts_max") == highest))
+    whole = t.where("whole").groupBy("key", "field").agg(F.max("del_seq").alias("del_seq"))
+    every, one = (whole.where(c) for c in ("field is null", "field is not null"))
+    left = points.join(every.select("key", F.col("del_seq").alias("every_seq")), "key", "left").join(one.select("key", "field", F.col("del_seq").alias("one_seq")), ["key", "field"], "left")
+    left = left.where("seq >= coalesce(every_seq, seq) and seq >= coalesce(one_seq, seq)").select(*points.columns)
+    return not_within(left, t.where("not whole and ts_min <= ts_max"))
+
+
+def not_within(points: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Points that no later one of the ranges covers."""
+    t = in_classes(tombstones.select(F.col("key").alias("t_key"), F.col("field").alias("t_field"), "ts_min", "ts_max", "del_seq"), "ts_min", "ts_max")
+    classes = classes_of(t)
+    if not classes:
+        return points
+    # Each point once for each class, with a number to tell which points any class covers.
+    numbered = points.withColumn("point", F.monotonically_increasing_id()).withColumn("at", bucket_array(F.col("ts_ns"), classes)).withColumn("at", F.explode("at"))
+    covered = (
+        (F.col("key") == F.col("t_key")) & (F.col("at") == F.col("in_bucket"))
+        & (F.col("t_field").isNull() | (F.col("t_field") == F.col("field"))) & F.col("ts_ns").between(F.col("ts_min"), F.col("ts_max")) & (F.col("seq") < F.col("del_seq"))
+    )
+    # A point stays if it stays in all classes: as many rows as classes.
+    rest = numbered.join(t, covered, "left_anti")
+    counted = rest.groupBy(*points.columns, "point").agg(F.count(F.lit(1)).alias("n")) if len(classes) > 1 else rest.withColumn("n", F.lit(1))
+    return counted.where(F.col("n") == len(classes)).select(*points.columns)
 
 
 def replay(log: DataFrame) -> DataFrame:
@@ -119,7 +160,7 @@ def replay(log: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "delete", F.lit((1 << 63) - 1).cast("bigint")).otherwise(F.col("ts_max")).alias("ts_max"),
         F.col("seq").alias("del_seq"),
     )
-    return live(writes.select("key", "field", "ts_ns", "value", "seq"), deletes)
+    return last_write_wins(apply_many_tombstones(writes.select("key", "field", "ts_ns", "value", "seq"), deletes))
 
 
 def type_conflicts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -129,13 +170,21 @@ def type_conflicts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return new.join(known, ["key", "field"]).where(F.col("ftype") != F.col("existing"))
 
 
+def _fields_of(points: DataFrame, text: Column) -> Column:
+    """Texts of a point's fields in order of name; of a field that is there twice the greatest ``seq``, or text, stays."""
+    order = [F.col("seq")] if "seq" in points.columns else []
+    parts = F.sort_array(F.collect_list(F.struct("field", *order, text.alias("value"))))
+    return F.filter(parts, lambda x, i: (i == F.size(parts) - 1) | (F.get(parts, i + 1)["field"] != x["field"]))
+
+
 def field_maps(points: DataFrame, text: Column) -> DataFrame:
     """Fields of each key and time as one map, from field name to ``text``."""
-    entries = F.sort_array(F.collect_list(F.struct("field", text.alias("value"))))
-    return points.groupBy("key", "ts_ns").agg(F.map_from_entries(entries).alias("fields"))
+    told = points.groupBy("key", "ts_ns").agg(_fields_of(points, text).alias("f"))
+    return told.select("key", "ts_ns", F.map_from_entries(F.transform("f", lambda x: F.struct(x["field"], x["value"]))).alias("fields"))
 
 
 def lines(points: DataFrame, text: Column) -> DataFrame:
     """One text line for each key and time: key, fields in order of name, time."""
-    parts = F.sort_array(F.collect_list(F.concat(F.col("field"), F.lit("="), text)))
-    return points.groupBy("key", "ts_ns").agg(F.concat_ws(",", parts).alias("f")).select("key", "ts_ns", F.concat_ws(" ", "key", "f", F.col("ts_ns").cast("string")).alias("line"))
+    told = points.groupBy("key", "ts_ns").agg(_fields_of(points, text).alias("f"))
+    fields = F.array_join(F.transform("f", lambda x: F.concat(x["field"], F.lit("="), x["value"])), ",")
+    return told.select("key", "ts_ns", F.concat_ws(" ", "key", fields, F.col("ts_ns").cast("string")).alias("line"))
