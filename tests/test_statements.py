@@ -7,12 +7,12 @@ from tidemark.model import MAX_NS, MIN_NS
 from tidemark.plans.statements import Delete, Insert, Select, decode, parse
 
 SELECTS = {
-    "select temperature from weather;": Select("weather", "temperature"),
-    "select humidity from climate limit 5;": Select("climate", "humidity", limit=5),
-    "select value from data where time > 100 and time < 200;": Select("data", "value", 101, 199),
-    "select value from data where time > 100;": Select("data", "value", lo=101),
-    "select value from data where time < 500;": Select("data", "value", hi=499),
-    "  SELECT value FROM basc  ": Select("basc", "value"),
+    "select depth from harbour;": Select("harbour", "depth"),
+    "select flow from pump_7 limit 6;": Select("pump_7", "flow", limit=6),
+    "select flow from pump_7 where time > 40 and time < 90;": Select("pump_7", "flow", 41, 89),
+    "select flow from pump_7 where time > 12;": Select("pump_7", "flow", lo=13),
+    "select flow from pump_7 where time < 77;": Select("pump_7", "flow", hi=76),
+    "  SELECT flow FROM limitless  ": Select("limitless", "flow"),
     "select v from k where time>5 and time>9 limit 0 ASC": Select("k", "v", lo=10, limit=0, ascending=True),
     "select v from k limit 3 desc": Select("k", "v", limit=3),
 }
@@ -35,18 +35,18 @@ def test_unreadable(text):
 
 
 def test_insert():
-    assert parse('insert into data name="abc", value=42, time=1710000000;') == Insert("data", {"name": "abc", "value": 42}, {"name": "String", "value": "Integer"}, 1710000000)
-    assert parse("insert into metrics temp=36.6, active=true, time=1710001000;") == Insert("metrics", {"temp": 36.6, "active": True}, {"temp": "Float", "active": "Boolean"}, 1710001000)
-    assert parse(r'insert into logs msg="hello\nworld", level="info", time=1710002000;').fields == {"msg": "hello\nworld", "level": "info"}
+    assert parse('insert into pump_7 note="abc", turns=31, time=86400;') == Insert("pump_7", {"note": "abc", "turns": 31}, {"note": "String", "turns": "Integer"}, 86400)
+    assert parse("insert into pump_7 bar=2.25, on=false, time=-5;") == Insert("pump_7", {"bar": 2.25, "on": False}, {"bar": "Float", "on": "Boolean"}, -5)
+    assert parse(r'insert into notes line="up\ndown", by="me", time=3;').fields == {"line": "up\ndown", "by": "me"}
     assert parse('insert into k a="x,y=z", b=5u').fields == {"a": "x,y=z", "b": 5}
     assert parse("insert into k a=1").ts_ns is None
 
 
 def test_delete():
-    assert parse("delete from data where time > 1710000000 and time < 1710009999;") == Delete("data", 1710000001, 1710009998)
-    assert parse("delete from logs where time > 1710001234;") == Delete("logs", 1710001235, MAX_NS)
-    assert parse("delete from metrics where time < 1710005678;") == Delete("metrics", MIN_NS, 1710005677)
-    assert parse("delete from events;") == Delete("events", MIN_NS, MAX_NS)
+    assert parse("delete from pump_7 where time > 86400 and time < 90000;") == Delete("pump_7", 86401, 89999)
+    assert parse("delete from notes where time > 333;") == Delete("notes", 334, MAX_NS)
+    assert parse("delete from pump_7 where time < 4096;") == Delete("pump_7", MIN_NS, 4095)
+    assert parse("delete from harbour;") == Delete("harbour", MIN_NS, MAX_NS)
     assert parse(f"delete from k where time > {MAX_NS}").lo == MAX_NS
 
 

@@ -22,6 +22,7 @@ from .plans.engine import Engine
 from .plans.statements import parse
 from .sources import ingest
 from .sources.store import PointStore
+from .sources.values import ValueFiles
 from .streaming.sink import write_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A folder that all executors share, new each time."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        # Beside nothing else, only a single machine may have no folder that is shared.
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -57,8 +63,8 @@ _EVENTS = "(SELECT event_type AS key, epoch_us(ts) * 1000 AS ts_ns, value, user_
 _PARTS = "(SELECT 'part_' || l_partkey AS key, epoch_us(l_shipdate) * 1000 AS ts_ns, l_extendedprice AS value, (l_orderkey * 10 + l_linenumber)::BIGINT AS seq, l_returnflag AS flag, l_quantity AS quantity FROM lineitem)"
 _LWW = f"(SELECT key, ts_ns, arg_max(value, seq) AS value, max(seq) AS seq FROM {_PARTS} GROUP BY key, ts_ns)"
 _FILES = (
-    "(SELECT o_orderkey + 1 AS generation, (1 + o_custkey % 5)::INT AS sequence, CAST(floor(o_totalprice * 1000) AS BIGINT) AS size, o_orderpriority = '1-URGENT' AS has_tombstone,"
-    " format('{:09d}-{:09d}.sst', o_orderkey + 1, 1 + o_custkey % 5) AS path FROM orders)"
+    "(SELECT m * 5 + p AS generation, (1 + (m // 6 + p) % 5)::INT AS sequence, size, least = 1 AS has_tombstone, format('{:09d}-{:09d}.sst', m * 5 + p, 1 + (m // 6 + p) % 5) AS path FROM"
+    " (SELECT ((year(o_orderdate) - 1990) * 12 + month(o_orderdate))::BIGINT AS m, substr(o_orderpriority, 1, 1)::INT AS p, sum(CAST(floor(o_totalprice * 1000) AS BIGINT))::BIGINT AS size, min(o_custkey % 50) AS least FROM orders GROUP BY 1, 2))"
 )
 
 
@@ -80,12 +86,11 @@ def part_points(spark: SparkSession, d: str, where: str = "true", lifecycle=0) -
 
 
 def order_files(spark: SparkSession, d: str) -> DataFrame:
-    """``orders`` as metadata of files, a generation each."""
-    generation, sequence = (F.col("o_orderkey") + 1).cast("long"), (1 + F.col("o_custkey") % 5).cast("int")
-    return table(spark, d, "orders").select(
-        generation.alias("generation"), sequence.alias("sequence"), F.floor(F.col("o_totalprice") * 1000).cast("long").alias("size"),
-        (F.col("o_orderpriority") == "1-URGENT").alias("has_tombstone"), values.file_name(generation, sequence).alias("path"),
-    )
+    """Metadata of files from ``orders``: one for each month and priority, so as few as a store has files."""
+    month, rank = F.expr("(year(o_orderdate) - 1990) * 12 + month(o_orderdate)"), F.substring("o_orderpriority", 1, 1).cast("int")
+    files = table(spark, d, "orders").groupBy(month.alias("m"), rank.alias("p")).agg(F.sum(F.floor(F.col("o_totalprice") * 1000).cast("long")).alias("size"), F.min(F.col("o_custkey") % 50).alias("least"))
+    generation, sequence = (F.col("m") * 5 + F.col("p")).cast("long"), (1 + F.expr("m div 6 + p") % 5).cast("int")
+    return files.select(generation.alias("generation"), sequence.alias("sequence"), "size", (F.col("least") == 1).alias("has_tombstone"), values.file_name(generation, sequence).alias("path"))
 
 
 def value_files(spark: SparkSession, d: str) -> DataFrame:
@@ -188,19 +193,19 @@ def empty_range(spark, d):
 
 
 STATEMENTS = [
-    "select temperature from weather;",
-    "select value from data where time > 100 and time < 200 limit 5 asc;",
-    'insert into data name="a,b=c", value=42, ok=true, load=1.5, n=7u, host=web, time=1710000000;',
-    "delete from data where time > 1710000000 and time < 1710009999;",
-    "delete from events;",
-    "update data",
+    "select depth from harbour;",
+    "select flow from pump_7 where time > 40 and time < 90 limit 6 asc;",
+    'insert into pump_7 note="x,y=z", turns=31, on=false, bar=2.25, n=9u, hall=north, time=86400000000;',
+    "delete from pump_7 where time > 86400000000 and time < 86400000500;",
+    "delete from harbour;",
+    "drop pump_7",
 ]
 
 
 @query(
-    f"""SELECT * FROM (VALUES (0, 'select', 'weather', 'temperature', CAST('{MIN_NS + 2}' AS BIGINT), CAST('{MAX_NS - 1}' AS BIGINT), 10, false), (1, 'select', 'data', 'value', 101, 199, 5, true),
-    (2, 'insert', 'data', 'name:String,value:Integer,ok:Boolean,load:Float,n:Unsigned,host:String', 1710000000, 1710000000, 0, false), (3, 'delete', 'data', '', 1710000001, 1710009998, 0, false),
-    (4, 'delete', 'events', '', CAST('{MIN_NS}' AS BIGINT), CAST('{MAX_NS}' AS BIGINT), 0, false), (5, 'error', '', '', 0, 0, 0, false)) t(place, kind, key, fields, lo, hi, lim, ascending)"""
+    f"""SELECT * FROM (VALUES (0, 'select', 'harbour', 'depth', CAST('{MIN_NS + 2}' AS BIGINT), CAST('{MAX_NS - 1}' AS BIGINT), 10, false), (1, 'select', 'pump_7', 'flow', 41, 89, 6, true),
+    (2, 'insert', 'pump_7', 'note:String,turns:Integer,on:Boolean,bar:Float,n:Unsigned,hall:String', 86400000000, 86400000000, 0, false), (3, 'delete', 'pump_7', '', 86400000001, 86400000499, 0, false),
+    (4, 'delete', 'harbour', '', CAST('{MIN_NS}' AS BIGINT), CAST('{MAX_NS}' AS BIGINT), 0, false), (5, 'error', '', '', 0, 0, 0, false)) t(place, kind, key, fields, lo, hi, lim, ascending)"""
 )
 def statement_parse(spark, d):
     """What statements say, one row each."""
@@ -458,16 +463,18 @@ _NOW = 1_000_000_000 * 10**9
 _TTL = "CASE l_linenumber % 6 " + " ".join(f"WHEN {k} THEN {-1 if v is None else v * 86_400 * 10**9}" for k, v in LIFECYCLE_DAYS.items()) + " END"
 
 
-@query(f"SELECT l_linenumber % 6 AS lifecycle, count(*) AS n, min(epoch_us(l_shipdate) * 1000) AS first FROM lineitem WHERE ({_TTL}) < 0 OR epoch_us(l_shipdate) * 1000 >= {_NOW} - ({_TTL}) GROUP BY 1")
+@query(f"SELECT l_linenumber % 6 AS lifecycle, count(*) AS n, min(epoch_us(l_shipdate) * 1000) AS first FROM lineitem WHERE l_partkey <> 1 AND (({_TTL}) < 0 OR epoch_us(l_shipdate) * 1000 >= {_NOW} - ({_TTL})) GROUP BY 1")
 def ttl_expiry(spark, d):
-    kept = points.unexpired(part_points(spark, d, lifecycle=F.col("l_linenumber") % 6), _NOW)
+    t = _tombstones(spark, ("part_1", None, MIN_NS, MAX_NS, MAX_NS))
+    kept = points.unexpired(part_points(spark, d, lifecycle=F.col("l_linenumber") % 6), _NOW, t)
     return kept.groupBy("lifecycle").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first"))
 
 
-@query("SELECT DISTINCT regexp_replace(l_returnflag || '/' || l_linestatus, '.*/', '') AS base, 0.0::DOUBLE AS same FROM lineitem")
+@query("SELECT DISTINCT regexp_replace(l_returnflag || '/' || l_linestatus, '.*/', '') AS base, round((l_quantity - l_linenumber) / l_linenumber * 100, 9)::DOUBLE AS more, (l_extendedprice * 1000)::BIGINT // 1048576 AS mb FROM lineitem")
 def display_helpers(spark, d):
-    rows = table(spark, d, "lineitem").select(values.base_name(F.concat_ws("/", "l_returnflag", "l_linestatus")).alias("base"), F.col("l_quantity").alias("q"))
-    return rows.select("base", values.percent_delta(F.col("q"), F.col("q")).alias("same")).distinct()
+    rows = table(spark, d, "lineitem")
+    more = F.round(values.percent_delta(F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")), 9)
+    return rows.select(values.base_name(F.concat_ws("/", "l_returnflag", "l_linestatus")).alias("base"), more.alias("more"), values.megabytes(F.round(F.col("l_extendedprice") * 1000).cast("bigint")).alias("mb")).distinct()
 
 
 @query("SELECT key, sum(n)::BIGINT AS n FROM (SELECT 'part_' || l_partkey AS key, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1 UNION ALL SELECT 'part_' || l_partkey, 0 FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) GROUP BY key HAVING count(*) = 2")
@@ -487,7 +494,7 @@ def key_set_union(spark, d):
 
 # -- blocks and files ---------------------------------------------------------------
 
-_BLOCKS = f"(SELECT *, (row_number() OVER (PARTITION BY key ORDER BY ts_ns) - 1) // 500 AS block FROM {_EVENTS})"
+_BLOCKS = f"(SELECT *, (row_number() OVER (PARTITION BY key ORDER BY ts_ns, seq) - 1) // 500 AS block FROM {_EVENTS})"
 _STATS = f"(SELECT key, 'value' AS field, block, min(ts_ns) AS ts_min, max(ts_ns) AS ts_max, count(*) AS n FROM {_BLOCKS} GROUP BY key, block)"
 
 
@@ -534,14 +541,26 @@ def file_overlaps(spark, d):
     return a.join(b, F.col("a_file") < F.col("b_file")).select(F.col("a_file").alias("a"), F.col("b_file").alias("b"), meet("ts").alias("times"), meet("key").alias("keys"))
 
 
-@query(f"SELECT key, block, rank() OVER (PARTITION BY key ORDER BY ts_min, block) AS place FROM {_STATS}")
+_WEEK = 5 * 86_400 * 10**9
+_LOCATIONS = (
+    f"(SELECT key, 'value' AS field, 1 + seq % 3 AS generation, ts_ns // {_WEEK} AS span, min(ts_ns) AS ts_min, max(ts_ns) AS ts_max FROM {_EVENTS} WHERE (ts_ns // 86400000000000) % 5 < 3 + seq % 3 GROUP BY 1, 3, 4)"
+)
+
+
+@query(
+    f"""WITH o AS (SELECT *, max(ts_max) OVER (PARTITION BY key ORDER BY ts_min, ts_max, generation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {_LOCATIONS}),
+    s AS (SELECT *, sum((reach IS NULL OR ts_min > reach)::INT) OVER (PARTITION BY key ORDER BY ts_min, ts_max, generation ROWS UNBOUNDED PRECEDING) AS of_set FROM o)
+    SELECT key, generation, ts_min, row_number() OVER (PARTITION BY key ORDER BY of_set, generation, ts_min) AS place FROM s"""
+)
 def location_order(spark, d):
-    """The order in which a read visits blocks."""
-    return blocks.block_stats(_blocked(spark, d)).select("key", "block", F.rank().over(Window.partitionBy("key").orderBy("ts_min", "block")).cast("long").alias("place"))
+    """The order in which a read visits blocks of three generations: by generation where they overlap, by time otherwise."""
+    p = value_points(spark, d).withColumn("generation", 1 + F.col("seq") % 3).where(f"(ts_ns div 86400000000000) % 5 < 2 + generation")
+    stats = p.groupBy("key", "field", "generation", F.expr(f"ts_ns div {_WEEK}").alias("span")).agg(F.min("ts_ns").alias("ts_min"), F.max("ts_ns").alias("ts_max"))
+    return blocks.read_order(stats.withColumn("sequence", F.lit(1))).select("key", "generation", "ts_min", "place")
 
 
 @query(
-    f"""WITH b AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY ts_ns) - 1) // 2000 AS block FROM {_EVENTS}), dl AS (SELECT key, ts_ns, user_id - coalesce(lag(user_id) OVER (PARTITION BY key, block ORDER BY ts_ns), 0) AS delta FROM b)
+    f"""WITH b AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY ts_ns, seq) - 1) // 2000 AS block FROM {_EVENTS}), dl AS (SELECT key, ts_ns, user_id - coalesce(lag(user_id) OVER (PARTITION BY key, block ORDER BY ts_ns, seq), 0) AS delta FROM b)
     SELECT key, ts_ns, CASE WHEN delta >= 0 THEN 2 * delta ELSE -2 * delta - 1 END AS zz FROM dl"""
 )
 def delta_zigzag(spark, d):
@@ -564,13 +583,33 @@ def ts_encoding_choice(spark, d):
     return blocks.timestamp_encoding(blocks.with_blocks(p, 4))
 
 
-@query(
-    f"""WITH b AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY ts_ns) - 1) // 3 AS block FROM {_EVENTS}),
-    dl AS (SELECT key, block, row_number() OVER (PARTITION BY key, block ORDER BY ts_ns) AS place, user_id - coalesce(lag(user_id) OVER (PARTITION BY key, block ORDER BY ts_ns), 0) AS delta FROM b)
-    SELECT key, 'user_id' AS field, block, count(*) AS n, CASE WHEN count(*) > 2 AND min(delta) FILTER (place > 1) = max(delta) FILTER (place > 1) THEN 'rle' ELSE 'packed' END AS encoding FROM dl GROUP BY key, block"""
-)
+_TOP = 1 << 63
+
+
+def _encoding_sql(bits: str) -> str:
+    """SQL for the encodings of blocks of 3 numbers, given as the signed number that their bits are."""
+    return f"""WITH v AS (SELECT key, ts_ns, seq, ({bits})::HUGEINT AS x FROM {_EVENTS}),
+    b AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY ts_ns, seq) - 1) // 3 AS block FROM v),
+    dl AS (SELECT key, block, row_number() OVER w AS nth, x - coalesce(lag(x) OVER w, 0) AS delta FROM b WINDOW w AS (PARTITION BY key, block ORDER BY ts_ns, seq)),
+    wr AS (SELECT key, block, nth, CASE WHEN delta >= {_TOP}::HUGEINT THEN delta - 2 * {_TOP}::HUGEINT WHEN delta < -({_TOP}::HUGEINT) THEN delta + 2 * {_TOP}::HUGEINT ELSE delta END AS delta FROM dl),
+    zz AS (SELECT key, block, nth, CASE WHEN delta >= 0 THEN 2 * delta ELSE -2 * delta - 1 END AS zz FROM wr)
+    SELECT key, 'user_id' AS field, block, count(*) AS n, CASE WHEN count(*) > 2 AND min(zz) FILTER (nth > 1) = max(zz) FILTER (nth > 1) THEN 'rle' WHEN max(zz) > {(1 << 60) - 1} THEN 'raw' ELSE 'packed' END AS encoding FROM zz GROUP BY key, block"""
+
+
+@query(_encoding_sql("CASE WHEN seq % 40 = 3 THEN user_id * 40000000000000000 WHEN seq % 6 < 3 THEN 7 ELSE -user_id END"))
 def int_encoding_choice(spark, d):
-    return blocks.integer_encoding(blocks.with_blocks(event_points(spark, d).where("field = 'user_id'"), 3))
+    """Small, equal and very large integers."""
+    p = event_points(spark, d).where("field = 'user_id'")
+    p = p.withColumn("v_int", F.expr("case when seq % 40 = 3 then v_int * 40000000000000000 when seq % 6 < 3 then 7 else -v_int end"))
+    return blocks.integer_encoding(blocks.with_blocks(p, 3))
+
+
+@query(_encoding_sql("CASE WHEN seq % 3 = 0 THEN -1 - user_id ELSE user_id END"))
+def uint_encoding_choice(spark, d):
+    """Unsigned integers on both sides of the middle of their range, where differences wrap around."""
+    p = event_points(spark, d).where("field = 'user_id'")
+    p = p.withColumn("v_uint", F.expr("case when seq % 3 = 0 then 18446744073709551615BD - v_int else cast(v_int as decimal(20,0)) end").cast("decimal(20,0)"))
+    return blocks.integer_encoding(blocks.with_blocks(p, 3), "v_uint")
 
 
 @query(f"SELECT key, ts_ns FROM {_EVENTS} WHERE seq % 50 = 3")
@@ -602,7 +641,7 @@ def compaction_levels(spark, d):
 
 
 def _generations(spark: SparkSession, d: str) -> list[compaction.Generation]:
-    # File metadata: a row for each file of some gigabytes.
+    # File metadata: a row for each file of some gigabytes, of which there are a few hundred here at any scale.
     return compaction.generations(r.asDict() for r in order_files(spark, d).collect())
 
 
@@ -611,7 +650,17 @@ def _groups(spark: SparkSession, named: list[tuple[str, list[list[str]]]]) -> Da
     return spark.createDataFrame(rows, "plan string, number int, files int, first string, last string")
 
 
-@query()
+#: A walk over generations in order: the run that each is in, and the highest level of that run so far.
+_WALK = f"""g AS (SELECT *, least(sequence, 4) AS level, row_number() OVER (ORDER BY generation) AS i, lead(least(sequence, 4)) OVER (ORDER BY generation) AS after FROM {_FILES}),
+    walk(i, run, top) AS (SELECT i, 1, level FROM g WHERE i = 1 UNION ALL SELECT g.i, w.run + (NOT orphan AND w.top <> g.level)::INT, CASE WHEN NOT orphan AND w.top <> g.level THEN g.level ELSE greatest(w.top, g.level) END
+        FROM walk w JOIN (SELECT *, coalesce(level < after, false) AS orphan FROM g) g ON g.i = w.i + 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_WALK}, r AS (SELECT g.*, run, max(top) OVER (PARTITION BY run) AS of_level, row_number() OVER (PARTITION BY run ORDER BY g.i) - 1 AS place FROM walk JOIN g ON g.i = walk.i),
+    c AS (SELECT of_level, run, place // CASE WHEN of_level = 1 THEN 8 ELSE 4 END AS chunk, count(*) AS n, bool_or(has_tombstone) AS t, min(i) AS pos, arg_min(path, i) AS first, arg_max(path, i) AS last FROM r WHERE of_level < 4 GROUP BY 1, 2, 3)
+    SELECT 'level ' || of_level AS plan, (row_number() OVER (PARTITION BY of_level ORDER BY pos) - 1)::INT AS number, n::INT AS files, first, last FROM c WHERE n = CASE WHEN of_level = 1 THEN 8 ELSE 4 END OR t"""
+)
 def plan_level_groups(spark, d):
     g = _generations(spark, d)
     return _groups(spark, [(f"level {v}", compaction.plan_level(g, v)) for v in (1, 2, 3)])
@@ -718,11 +767,28 @@ def gc_edge_weights(spark, d):
 
 @query()
 def gc_component(spark, d):
-    """Files to collect together; the graph has a vertex for each value file."""
-    edges = [(r["i"], r["j"], r["weight"]) for r in _gc_graph(spark, d).select("i", "j", "weight").collect()]
+    """Files to collect together; of the graph the driver gets a few edges for each value file."""
+    edges = [(r["i"], r["j"], r["weight"]) for r in garbage.heaviest(_gc_graph(spark, d), 8).collect()]
     return spark.createDataFrame([(f,) for f in garbage.component(edges, 8)], "file_id bigint")
 
 
+@query("SELECT 'part_' || l_partkey AS key, count(*) AS n, sum(strlen(l_shipmode))::BIGINT AS n_bytes, 0::BIGINT AS lost FROM (SELECT l_partkey, l_returnflag, 'mode ' || l_linenumber || l_returnflag AS l_shipmode FROM lineitem) WHERE l_returnflag <> 'R' GROUP BY 1")
+def value_file_gc(spark, d):
+    """Blocks in value files, a third of them no longer pointed at; files collected, all pointers resolved afterwards."""
+    rows = table(spark, d, "lineitem").select(
+        F.concat(F.lit("part_"), F.col("l_partkey")).alias("key"), times.column_ns("l_shipdate").alias("ts_min"), times.column_ns("l_shipdate").alias("ts_max"), (F.col("l_linenumber") % 6).alias("lifecycle"),
+        F.concat(F.lit("mode "), F.col("l_linenumber"), F.col("l_returnflag")).cast("binary").alias("block"),
+    )
+    files = ValueFiles(PointStore(spark, scratch(spark)))
+    files.write(rows.where("lifecycle < 3"))
+    files.write(rows.where("lifecycle >= 3"))
+    stored = files.read()
+    live = stored.where("cast(block as string) not like '%R'").drop("block")
+    moved = files.collect_garbage(live, 0.25)
+    told = files.resolve(moved).withColumn("found", F.octet_length("block"))
+    return told.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("found").cast("bigint").alias("n_bytes"), F.sum(F.col("block").isNull().cast("bigint")).alias("lost"))
+
+
 # -- reports ------------------------------------------------------------------------------
 
 
@@ -759,18 +825,36 @@ def percent_delta(spark, d):
     return left.join(right, "thread").select("label", "thread", F.round(values.percent_delta(F.col("l"), F.col("r")), 9).alias("delta"))
 
 
-@query(f"SELECT key, ts_ns, round(avg(CASE WHEN value <> 0 THEN value END) OVER (PARTITION BY key ORDER BY ts_ns ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 9) AS latency FROM {_EVENTS}")
+@query(f"SELECT key, ts_ns, round(avg(CASE WHEN value <> 0 THEN value END) OVER (PARTITION BY key ORDER BY ts_ns, seq ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 9) AS latency FROM {_EVENTS}")
 def latency_average(spark, d):
-    rows = value_points(spark, d).select("key", "ts_ns", F.col("v_float").alias("value"))
+    rows = value_points(spark, d).select("key", "ts_ns", "seq", F.col("v_float").alias("value"))
     return reports.running_latency(rows, "key", "ts_ns", "value").select("key", "ts_ns", F.round("latency", 9).alias("latency"))
 
 
-@query()
+@query(
+    f"""SELECT key, round(s.td, 9) AS avg_td, round(s.tg, 9) AS avg_tg FROM (SELECT key, list_reduce(list_prepend({{'td': 0.0::DOUBLE, 'tg': 0.0::DOUBLE}}, list({{'td': (value - 5)::DOUBLE, 'tg': (user_id - 20)::DOUBLE}} ORDER BY ts_ns, seq)),
+        lambda s, x: {{'td': CASE WHEN x.td > 0 THEN (x.td + s.tg) / 2 ELSE s.td END, 'tg': CASE WHEN x.tg > 0 THEN (x.tg + CASE WHEN x.td > 0 THEN (x.td + s.tg) / 2 ELSE s.td END) / 2 ELSE s.tg END}}) AS s FROM {_EVENTS} GROUP BY key)"""
+)
 def running_averages(spark, d):
-    """Two averages that lean on each other, folded in time order within a day of a series."""
-    e = table(spark, d, "events").withColumn("day", F.concat_ws(" ", "event_type", F.to_date("ts").cast("string")))
-    rows = e.select("day", times.column_ns("ts").alias("at"), (F.col("value") - 5).alias("td"), (F.col("user_id") - 20).cast("double").alias("tg"))
-    return reports.coupled_averages(rows, "day", "at")
+    """Two averages that lean on each other, folded in time order over whole series."""
+    e = table(spark, d, "events")
+    rows = e.select(F.col("event_type").alias("key"), times.column_ns("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("value") - 5).alias("td"), (F.col("user_id") - 20).cast("double").alias("tg"))
+    told = reports.coupled_averages(rows, "key", "at")
+    return told.select("key", F.round("avg_td", 9).alias("avg_td"), F.round("avg_tg", 9).alias("avg_tg"))
+
+
+@query(
+    "SELECT metric || '{type=\"' || ftype || '\"} ' || v AS line FROM (SELECT ftype, unnest(['points_total', 'bytes_total', 'series', 'oldest_seconds', 'newest_seconds']) AS metric, unnest([n, b, s, lo, hi]) AS v FROM"
+    " (SELECT ftype, count(*)::BIGINT AS n, sum(b)::BIGINT AS b, count(DISTINCT key)::BIGINT AS s, min(ts_ns // 1000000000)::BIGINT AS lo, max(ts_ns // 1000000000)::BIGINT AS hi FROM"
+    f" (SELECT key, ts_ns, unnest(['Float', 'Integer', 'String', 'Boolean']) AS ftype, unnest([16, 16, 8 + strlen(props), 9]) AS b FROM {_EVENTS}) GROUP BY ftype))"
+    " UNION ALL SELECT unnest(['write_delay_ms_bucket{le=\"50\"} ' || a, 'write_delay_ms_bucket{le=\"100\"} ' || b, 'write_delay_ms_bucket{le=\"500\"} ' || c, 'write_delay_ms_bucket{le=\"+Inf\"} ' || n, 'write_delay_ms_count ' || n, 'write_delay_ms_sum ' || s]) FROM"
+    f" (SELECT sum((user_id <= 50)::INT)::BIGINT AS a, sum((user_id <= 100)::INT)::BIGINT AS b, sum((user_id <= 500)::INT)::BIGINT AS c, count(*) AS n, sum(user_id)::BIGINT AS s FROM {_EVENTS})"
+)
+def metric_lines(spark, d):
+    """Gauges of a store and a histogram of delays, as a scraper reads them."""
+    p = event_points(spark, d)
+    delays = reports.delay_classes(table(spark, d, "events"), "user_id")
+    return reports.exposition(reports.store_gauges(p).unionByName(reports.histogram_metrics(delays, "write_delay_ms")))
 
 
 @query(f"SELECT sum((value <= 50)::INT)::BIGINT AS le_50, sum((value <= 100)::INT)::BIGINT AS le_100, sum((value <= 500)::INT)::BIGINT AS le_500, count(*) AS n, round(sum(value), 4) AS total FROM {_EVENTS}")
@@ -793,6 +877,18 @@ def store_round_trip(spark, d):
     return store.read().select("key", "ts_ns", F.col("v_float").alias("value"))
 
 
+@query(f"SELECT key, ts_ns, value FROM {_EVENTS} WHERE key <> 'view' OR seq % 2 = 0")
+def compact_fast(spark, d):
+    """Batches of which few series overlap: those are merged, the others are copied as they are."""
+    store = PointStore(spark, scratch(spark))
+    p = value_points(spark, d)
+    store.append(p.where("key in ('click', 'view')"))
+    store.delete("view")
+    store.append(p.where("key not in ('click', 'view') or key = 'view' and seq % 2 = 0"))
+    store.compact(fast=True)
+    return store.read().select("key", "ts_ns", F.col("v_float").alias("value"))
+
+
 @query("SELECT 'field' || i AS field, count(*) AS n, min(ts_ns) AS first, max(ts_ns) AS last FROM (SELECT epoch_us(ts) * 1000 AS ts_ns FROM events), (VALUES (1), (2)) t(i) GROUP BY 1")
 def csv_chunk_load(spark, d):
     """Delimited text, written and loaded by as many tasks as it splits into."""
