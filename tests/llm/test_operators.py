@@ -361,22 +361,27 @@ def test_mixing(spark, docs, none):
     assert {x.rate for x in mixing.rated(texts, bare, {"clean": 1.0}).collect()} == {1.0} and mixing.rated(none, model, {"clean": 1.0}).count() == 0
 
 
-def slow_rates(n, p, share, steps=200):
-    r, mass = np.ones(len(n)), (n[:, None] * p).sum(0)
-    for _ in range(steps):
-        r = np.maximum(0, r - p @ ((((n * r)[:, None] * p).sum(0) - share * n.sum()) / mass))
-    return r
-
-
-def test_rates_are_the_gradient_solution(spark):
+def test_rates_are_the_steps_folded_and_meet_their_targets(spark):
     rng = np.random.default_rng(5)
-    p, n = rng.dirichlet([0.3, 0.3, 0.3], 200), rng.integers(10, 1000, 200)
-    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+    p, n = rng.dirichlet([0.3, 0.3, 0.3], 400), rng.integers(10, 1000, 400)
+    members = spark.createDataFrame([((i,), int(a), b.tolist()) for i, (a, b) in enumerate(zip(n, p, strict=True))], "row struct<doc_id long>, n_tokens long, posterior array<double>")
     model = mixing.DomainModel(["a", "b", "c"], [], [0.0] * 3, [[]] * 3)
-    steps = mixing.fit_rates(members, model, {"a": 0.6, "b": 0.3, "c": 0.1})
-    got = np.array([x.rate for x in members.withColumn("rate", mixing.fitted_rate(steps)).collect()])
-    assert np.allclose(got, slow_rates(n, p, np.array([0.6, 0.3, 0.1]), len(steps)), atol=1e-9)
-    assert np.allclose(((n * got)[:, None] * p).sum(0) / n.sum(), [0.6, 0.3, 0.1], atol=0.002)
+    fit = mixing.fit_rates(members, model, {"a": 0.6, "b": 0.3, "c": 0.1})
+    got = [x.rate for x in members.withColumn("rate", mixing.fitted_rate(fit.steps)).orderBy("row.doc_id").collect()]
+    r = before = np.ones(len(n))
+    for momentum, *pull in fit.steps:
+        r, before = np.maximum(0, r + momentum * (r - before) - p @ np.asarray(pull)), r
+    assert np.allclose(got, r, atol=1e-9) and (r >= 0).all()
+    assert np.allclose(((n * r)[:, None] * p).sum(0), fit.expected, rtol=1e-6) and np.allclose(fit.targets, np.array([0.6, 0.3, 0.1]) * n.sum())
+    assert fit.miss(fit.realised) < 0.03
+
+
+def test_a_target_out_of_reach_is_told(spark):
+    members = spark.createDataFrame([((i,), 100, [0.5, 0.5]) for i in range(40)], "row struct<doc_id long>, n_tokens long, posterior array<double>")
+    model = mixing.DomainModel(["a", "b"], [], [0.0] * 2, [[]] * 2)
+    with pytest.warns(UserWarning, match="miss a target"):
+        fit = mixing.fit_rates(members, model, {"a": 0.9, "b": 0.1})
+    assert fit.miss(fit.realised) > 0.3 and len(fit.steps) < 2 * mixing.ITERATIONS
 
 
 def test_native_operators_run_no_python(spark, docs):

@@ -43,7 +43,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = mixing.train(docs, mixing.domain_labels(table(spark, sf_dir, "labels")))
     rated = mixing.rated(docs, model, {"clean": 0.85, "low": 0.1, "toxic": 0.05}, keep=["doc_id"])
     posteriors = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(model.domains)]
-    return rated.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", *posteriors, "rate", "copies")
+    return rated.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", *posteriors, "rate", "copies", "miss")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
