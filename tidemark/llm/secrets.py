@@ -2,7 +2,8 @@
 
 Two first-order character models, one of random strings and one of ordinary
 identifiers, are trained on labelled samples.  A run of token characters whose
-mean log-likelihood ratio per character pair is high reads as random.  Scanning
+mean log-likelihood ratio per character pair is high reads as random; how high is
+fitted on strings that were held out of the training.  Scanning
 is one projection of built-in expressions; a text is split by a pattern, and the
 lengths of what lies between the matches give their places.
 """
@@ -24,8 +25,12 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 ]
-#: Runs that the models judge, their kind, the least mean log ratio of a secret, and its least number of different characters.
-RUN, KIND, MIN_RATIO, MIN_DIFFERENT = r"[A-Za-z0-9+/_=-]{16,}", "markov", 2.0, 8
+#: Runs that the models judge, their least length, their kind, and a secret's least number of different characters.
+MIN_RUN, KIND, MIN_DIFFERENT = 16, "markov", 8
+RUN = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
+#: The usual least mean log ratio of a secret; the greatest share of ordinary strings that may reach the fitted one, the
+#: share of random ones that has to, its steps in a unit, and of how many strings one is held out.
+MIN_RATIO, FALSE_SHARE, RECALL, STEPS, HELD_OUT = 2.0, 0.001, 0.99, 20, 4
 #: Documents whose tokens are labelled ordinary or, inside base spans, random; and generated random strings.
 SAMPLE_DOCS, GENERATED = 2000, 2000
 CODES = 128
@@ -63,9 +68,25 @@ def matches(text: str, pattern: str, group: int = 0, least: int = 1) -> str:
 
 @dataclass(frozen=True)
 class MarkovRatio:
-    """Log ratios of character pairs, random against ordinary, at ``128 * first + second``."""
+    """Log ratios of character pairs, random against ordinary, at ``128 * first + second``.
+
+    ``least`` is the mean ratio from which on a run is a secret; ``held_out`` has the
+    random strings held out, those of them that reach it, and the same of ordinary ones.
+    """
 
     ratios: tuple[float, ...]
+    least: float = MIN_RATIO
+    held_out: tuple[int, int, int, int] = (0, 0, 0, 0)
+
+    @property
+    def recall(self) -> float:
+        """The share of held-out random strings that are found."""
+        return self.held_out[1] / self.held_out[0] if self.held_out[0] else 0.0
+
+    @property
+    def false_share(self) -> float:
+        """The share of held-out ordinary strings that are taken for random ones."""
+        return self.held_out[3] / self.held_out[2] if self.held_out[2] else 0.0
 
     def column(self, run: str) -> str:
         """SQL for the mean log ratio of a run of ASCII characters."""
@@ -80,8 +101,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ma
     Random: values of the base patterns, and encoded digests of counters.
     Ordinary: the other token runs of four and more characters, and identifiers
     made of the words among them (``WordWord``, ``word_word``, ``word-word``).  Each
-    distinct string counts once, and in it each pair of characters once.  Without
-    documents the generated strings still train.
+    distinct string counts once, and in it each pair of characters once.  One string
+    in ``HELD_OUT``, by its hash, is held out.  The threshold is ``MIN_RATIO``, or less if
+    fewer than ``RECALL`` of the random ones held out reach it, or more if more than
+    ``FALSE_SHARE`` of the ordinary ones do.  Without documents the generated strings
+    still train.
     """
     spark = docs.sparkSession
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("chosen")).orderBy(F.xxhash64("chosen"), "chosen").limit(SAMPLE_DOCS).distinct()
@@ -98,8 +122,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ma
     ordinary = ordinary.distinct().select(F.explode(F.expr(joined)).alias("s"), "random")
     digest = "sha2(cast(id as string), 256)"
     made = spark.range(GENERATED).selectExpr(f"explode(array({digest}, substr({digest}, 1, 18), base64(unhex({digest})), upper(substr(replace(base64(unhex({digest})), '/', ''), 1, 20)))) as s", "1 as random")
-    strings = random.union(ordinary).union(made).distinct().where("length(s) > 1")
-    pairs = strings.select("random", F.explode(F.expr("array_distinct(transform(sequence(1, length(s) - 1), i -> substr(s, i, 2)))")).alias("p")).selectExpr("random", "ascii(p) as a", "ascii(substr(p, 2, 1)) as b")
+    strings = written(random.union(ordinary).union(made).distinct().where("length(s) > 1").withColumn("held", F.expr(f"pmod(xxhash64(s, 3L), {HELD_OUT}) = 0")))
+    pairs = strings.where("not held").select("random", F.explode(F.expr("array_distinct(transform(sequence(1, length(s) - 1), i -> substr(s, i, 2)))")).alias("p")).selectExpr("random", "ascii(p) as a", "ascii(substr(p, 2, 1)) as b")
     counts = {(r["random"], r["a"], r["b"]): r["n"] for r in pairs.where(f"a < {CODES} and b < {CODES}").groupBy("random", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = sorted({c for k in counts for c in k[1:]})
     after = {(k, a): sum(counts.get((k, a, b), 0) for b in used) for k in (0, 1) for a in used}
@@ -111,14 +135,32 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ma
         single = (alone[k, b] + 0.5) / (total[k] + 0.5 * len(used))
         return math.log((counts.get((k, a, b), 0) + BACKING * single) / (after[k, a] + BACKING))
 
-    return MarkovRatio(tuple(log_p(1, a, b) - log_p(0, a, b) if a in used and b in used else 0.0 for a in range(CODES) for b in range(CODES)))
+    model = MarkovRatio(tuple(log_p(1, a, b) - log_p(0, a, b) if a in used and b in used else 0.0 for a in range(CODES) for b in range(CODES)))
+    judged = strings.where(f"held and length(s) >= {MIN_RUN} and s rlike '^{RUN}$' and size(array_distinct(split(s, ''))) >= {MIN_DIFFERENT}")
+    step = F.floor(F.expr(model.column("s")) * STEPS).cast("int")
+    found = {(r["random"], r["step"]): r["n"] for r in judged.select("random", step.alias("step")).groupBy("random", "step").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return fitted(model, found)
+
+
+def fitted(model: MarkovRatio, found: dict[tuple[int, int], int]) -> MarkovRatio:
+    """The model with its threshold, given how many held-out strings of each kind have a ratio in each step."""
+    of = [{step: n for (kind, step), n in found.items() if kind == k} for k in (0, 1)]
+    total = [sum(x.values()) for x in of]
+    if not all(total):
+        return model
+    reach = lambda k, least: sum(n for step, n in of[k].items() if step >= least)
+    # The usual ratio; lower where too few random strings reach it, and higher where too many ordinary ones do.
+    steps = range(min(*of[0], *of[1]), max(*of[0], *of[1]) + 2)
+    least = min(round(MIN_RATIO * STEPS), max(s for s in steps if reach(1, s) >= RECALL * total[1]))
+    least = max(least, next(s for s in steps if reach(0, s) <= FALSE_SHARE * total[0]))
+    return MarkovRatio(model.ratios, least / STEPS, (total[1], reach(1, least), total[0], reach(0, least)))
 
 
 def spans_of(model: MarkovRatio, text: str) -> str:
     """SQL for a struct of the arrays ``base`` and ``extra``; spans are structs of start, kind's rank, end and kind."""
     span = "transform({m}, x -> named_struct('s', x.s, 'k', {k}, 'e', x.e, 'kind', '{name}'))"
     base = "concat(" + ", ".join(span.format(m=matches(text, p, g, n), k=k, name=name) for k, (name, p, g, n) in enumerate(BASE)) + ")"
-    runs = f"filter({matches(text, RUN)}, x -> not exists(b, y -> y.s < x.e and x.s < y.e) and size(array_distinct(split(x.v, ''))) >= {MIN_DIFFERENT} and {model.column('x.v')} >= {MIN_RATIO})"
+    runs = f"filter({matches(text, RUN)}, x -> not exists(b, y -> y.s < x.e and x.s < y.e) and size(array_distinct(split(x.v, ''))) >= {MIN_DIFFERENT} and {model.column('x.v')} >= {model.least!r}D)"
     return let(f"sort_array({base})", "b", f"named_struct('base', b, 'extra', {span.format(m=runs, k=len(BASE), name=KIND)})")
 
 
