@@ -1,14 +1,15 @@
 """Token counts of whole texts.
 
 Texts travel in Arrow batches and only lengths come back.  A long text is split
-at safe boundaries (white space, which no token of the vocabulary spans), so the
-tokenizer sees many short chunks; chunks not met before are encoded in batches
+at safe boundaries (white space, which no token of the vocabulary spans, and in texts
+without it the ends of runs of letters), so the tokenizer sees many short chunks; chunks not met before are encoded in batches
 of bounded bytes and their lengths are kept in a bounded table per worker.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 from collections.abc import Iterable, Iterator
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 1 << 20
 #: Chunks whose result a worker remembers, and the longest such chunk.
 MEMO_CHUNKS, MEMO_CHARS = 400_000, 64
+#: The longest chunk that is not cut within, and where chunks are: behind a letter, before a digit or a full-width mark.
+LONG_CHARS = 4096
+_INNER = re.compile("(?<=[^\\W\\d_])(?=[0-9\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
 def load(path: str):
@@ -36,11 +40,12 @@ def byte_balanced(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[li
     group: list[str] = []
     held = 0
     for text in texts:
-        if group and held + len(text) > limit:
+        size = len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+        if group and held + size > limit:
             yield group
             group, held = [], 0
         group.append(text)
-        held += len(text)
+        held += size
     if group:
         yield group
 
@@ -83,8 +88,16 @@ class Memo:
 
 
 def spaced_chunks(text: str) -> list[str]:
-    """Cut at spaces and line ends; for vocabularies that drop white space."""
-    return text.replace("\n", " ").split(" ")
+    """Cut at spaces and line ends, and chunks that are still long at other places; for vocabularies that drop white space.
+
+    The other places are those between a letter and a digit or a full-width mark: such
+    a vocabulary's pattern ends a run of letters there, nothing composes across them
+    and no special string holds one.
+    """
+    chunks = text.replace("\n", " ").split(" ")
+    if max(map(len, chunks)) <= LONG_CHARS:
+        return chunks
+    return [part for c in chunks for part in (_INNER.split(c) if len(c) > LONG_CHARS else (c,))]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
