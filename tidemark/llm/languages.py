@@ -106,12 +106,13 @@ def best_paths(table: np.ndarray, words: np.ndarray, bounds: np.ndarray, switch:
     order = np.argsort(-length, kind="stable")
     begin, length = bounds[:-1][order], length[order]
     top = int(length[0]) if len(length) else 0
+    kind = np.uint8 if table.shape[1] <= 256 else np.uint16
     if not top:
-        return np.zeros(0, np.uint8)
+        return np.zeros(0, kind)
     active = np.searchsorted(-length, -np.arange(top), "left")  # texts longer than t
-    labels = np.zeros(len(words), np.uint8)
-    back = np.zeros((len(words), table.shape[1]), np.uint8)
-    own = np.arange(table.shape[1], dtype=np.uint8)
+    labels = np.zeros(len(words), kind)
+    back = np.zeros((len(words), table.shape[1]), kind)
+    own = np.arange(table.shape[1], dtype=kind)
     value = np.zeros((len(order), table.shape[1]), np.float32)
     for t in range(top):
         n = int(active[t])
