@@ -30,10 +30,12 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured."""
+    """The folder that all executors share; a temporary one only on a single machine where none is configured."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
