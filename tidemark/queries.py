@@ -51,7 +51,7 @@ def scratch(spark: SparkSession) -> str:
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
     if not base:
         # Beside nothing else, only a single machine may have no folder that is shared.
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
