@@ -41,7 +41,7 @@ MARKS = [
 #: Greatest share of its target by which a domain may miss it (of the total where the target is 0), in expectation and in whole copies.
 TOLERANCE, COPIES_TOLERANCE = 0.001, 0.005
 #: Iterations without a smaller residual after which no more is tried, and the most of all, for each of the two.
-PATIENCE, ITERATIONS = 12, 300
+PATIENCE, ITERATIONS = 6, 100
 #: Where text should stay as it is, a rate this near a whole number is that number.
 WHOLE = 0.1
 
