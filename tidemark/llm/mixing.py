@@ -40,7 +40,7 @@ MARKS = [
 ]
 #: Greatest share of its target by which a domain may miss it (of the total where the target is 0), in expectation and in whole copies.
 TOLERANCE, COPIES_TOLERANCE = 0.001, 0.005
-#: Iterations without a smaller residual after which no more is tried, and the most of all, for each of the two.
+#: Iterations without a residual smaller by a twentieth after which no more is tried, and the most of all, for each of the two.
 PATIENCE, ITERATIONS = 6, 100
 #: Where text should stay as it is, a rate this near a whole number is that number.
 WHOLE = 0.1
@@ -205,7 +205,7 @@ def fit_rates(members: DataFrame, model: DomainModel, shares: dict[str, float],
     Targets are ``shares`` (scaled to sum to 1; domains not named get none) of the
     present total or, with ``anchor``, of the total that leaves the anchor's tokens
     as they are.  A domain without tokens cannot be raised.  The fit ends when the
-    targets are met or the residual has not fallen for ``PATIENCE`` steps; the best
+    targets are met or the residual has hardly fallen for ``PATIENCE`` steps; the best
     steps and their totals are returned, with a warning where a target is missed.
     """
     k = range(len(model.domains))
@@ -245,7 +245,8 @@ def fit_rates(members: DataFrame, model: DomainModel, shares: dict[str, float],
             now = reached(steps)
             speed = speed + 1 if fit.miss(now) <= last else 1
             last = fit.miss(now)
-            best, best_now, since = (steps, now, 0) if last < fit.miss(best_now) else (best, best_now, since + 1)
+            since = 0 if last < 0.95 * fit.miss(best_now) else since + 1
+            best, best_now = (steps, now) if last < fit.miss(best_now) else (best, best_now)
         return best, best_now
 
     steps, expected = descend([], lambda s: totals(fitted_rate(s)), TOLERANCE, True, 1.0)
