@@ -133,3 +133,21 @@ def test_run(spark, folder):
     for x in pieces:
         filled[x.sequence_id] += x.length
     assert pieces and max(filled.values()) <= 1024
+
+
+def test_run_on_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_without_labels_keeps_what_it_can(spark, folder, tmp_path):
+    """No label: nothing is known to be anything but clean, so mixing leaves the corpus as it is."""
+    spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    mixed = dict(pipeline.STAGES)["mixing"](spark, docs, str(tmp_path))
+    assert mixed.count() == docs.count() and mixed.exceptAll(docs).count() == 0

@@ -48,13 +48,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The same rows from a Parquet table in the shared folder; for wide rows that compress."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = path or new_table(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def new_table(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The same rows, kept on the executors' disks once computed and computed again where one is lost.
 
