@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near, packing, quality, secrets
-from tidemark.llm.common import arrow_rows, table, written
+from tidemark.llm.common import arrow_rows, new_table, removed, table, written
 from tidemark.llm.queries import vocabulary
 
 
@@ -57,10 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again by the next; a table goes once its successor is written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = written(docs)
+            before, path = path, new_table(spark)
+            docs = written(docs, path)
+            if before is not None:
+                removed(spark, before)
     return docs
