@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidemark.llm import near, queries, vectors
+from tidemark.llm import near, vectors
 from tidemark.llm.common import arrow_rows
 
 from .test_operators import brute_links, prose, roots
