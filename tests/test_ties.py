@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from tidemark import queries as core
+from tidemark.model import POINTS
+from tidemark.sources.store import PointStore
 
 from .test_queries import same
 
@@ -31,3 +33,21 @@ def test_products_beyond_64_bits_wrap_around(spark, tmp_path):
     duckdb.connect().sql(f"COPY ({rows}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     told = {r["block"]: (r["n"], r["encoding"]) for r in core.int_encoding_choice(spark, str(tmp_path)).collect()}
     assert told[1] == (3, "raw") and sum(n for n, _ in told.values()) == 60
+
+
+@pytest.mark.parametrize("name", ["compact_fast"])
+def test_events_of_one_time_stay_apart(spark, tied, name):
+    assert same(core.QUERIES[name](spark, tied).toPandas(), expected(tied, name))
+
+
+def test_a_store_of_every_write_stays_one(spark, tmp_path):
+    store = PointStore(spark, str(tmp_path), every_write=True)
+    rows = [("k", "v", t, "Float", float(i), None, None, None, None, 0, 0) for i, t in enumerate((1, 1, 2, 3))]
+    for _ in range(2):
+        store.append(spark.createDataFrame(rows, POINTS))
+    store.compact(store.manifest()["points"][:1])
+    again = PointStore(spark, str(tmp_path))
+    assert again.read().count() == 8
+    again.delete("k", 3, 3)
+    again.compact(fast=True)
+    assert sorted(r["v_float"] for r in PointStore(spark, str(tmp_path)).read().collect()) == [0, 0, 1, 1, 2, 2]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import MAX_NS, MIN_NS, POINTS, TOMBSTONES, TypeConflict
-from ..operators.points import IDENTITY, last_write_wins, live, type_conflicts
+from ..operators.points import IDENTITY, apply_tombstones, last_write_wins, live, type_conflicts
 
 #: Bits of ``seq`` for the row in its partition and for the partition; the batch has the rest.
 ROW_BITS, PARTITION_BITS = 27, 17
@@ -39,10 +39,15 @@ def _turn(path: str) -> threading.RLock:
 
 
 class PointStore:
-    """Points and tombstones in a folder."""
+    """Points and tombstones in a folder.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    The last write of a timestamp wins.  A store that is new and made with
+    ``every_write`` keeps and reads all writes that no delete covers; its manifest
+    says so from then on.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, every_write: bool = False) -> None:
+        self.spark, self.path, self._every_write = spark, path.rstrip("/"), every_write
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         root = self._hadoop.Path(self.path)
         self._fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -59,7 +64,7 @@ class PointStore:
         """The newest state: batches of points and of tombstones, the next batch number, types, streams, log."""
         versions = self._versions()
         if not versions:
-            return {"version": 0, "next": 1, "points": [], "tombstones": [], "types": []}
+            return {"version": 0, "next": 1, "points": [], "tombstones": [], "types": []} | ({"every_write": True} if self._every_write else {})
         stream = self._fs.open(self._hadoop.Path(f"{self.path}/manifest-{versions[-1]}.json"))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -95,7 +100,8 @@ class PointStore:
 
     def read(self) -> DataFrame:
         """Live points."""
-        return live(self.raw(), self.tombstones())
+        seen = apply_tombstones if self.manifest().get("every_write") else live
+        return seen(self.raw(), self.tombstones())
 
     def catalog(self) -> DataFrame:
         """Fields that have a type: ``key, field, ftype``; from the manifest or the table that it names, not from the points."""
@@ -189,16 +195,20 @@ class PointStore:
                 return ""
             rows = self.spark.read.schema(POINTS).parquet(*(f"{self.path}/{b}" for b in chosen))
             whole = len(chosen) == len(state["points"])
-            merged = lambda r: live(r, self.tombstones()) if whole else last_write_wins(r)
+            every = state.get("every_write", False)
+            latest = (lambda r: r) if every else last_write_wins
+            merged = lambda r: latest(apply_tombstones(r, self.tombstones()) if whole else r)
             name = f"points-{state['next']}c-{uuid.uuid4().hex[:8]}"
             if fast:
                 parts = [self.spark.read.schema(POINTS).parquet(f"{self.path}/{b}").select("key", "field").distinct().withColumn("part", F.lit(i)) for i, b in enumerate(chosen)]
                 shared = parts[0]
                 for p in parts[1:]:
                     shared = shared.unionByName(p)
-                # A series that a batch has twice at one time overlaps itself.
-                crowded = rows.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "field")
-                touched = shared.groupBy("key", "field").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "field").union(crowded).distinct()
+                touched = shared.groupBy("key", "field").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "field")
+                if not every:
+                    # A series that a batch has twice at one time overlaps itself.
+                    crowded = rows.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "field")
+                    touched = touched.union(crowded).distinct()
                 if whole:
                     touched = touched.union(rows.select("key", "field").distinct().join(self.tombstones().select("key").distinct(), "key", "left_semi")).distinct()
                 # Few bytes beside the points; written, their size is known and decides how they are joined.
