@@ -177,9 +177,12 @@ def _fields_of(points: DataFrame, text: Column) -> Column:
     return F.filter(parts, lambda x, i: (i == F.size(parts) - 1) | (F.get(parts, i + 1)["field"] != x["field"]))
 
 
-def field_maps(points: DataFrame, text: Column) -> DataFrame:
-    """Fields of each key and time as one map, from field name to ``text``."""
-    told = points.groupBy("key", "ts_ns").agg(_fields_of(points, text).alias("f"))
+def field_maps(points: DataFrame, text: Column, apart: tuple[str, ...] = ()) -> DataFrame:
+    """Fields of each key and time as one map, from field name to ``text``.
+
+    Points of one time that differ in a column of ``apart``, such as ``seq``, are told apart.
+    """
+    told = points.groupBy("key", "ts_ns", *apart).agg(_fields_of(points, text).alias("f"))
     return told.select("key", "ts_ns", F.map_from_entries(F.transform("f", lambda x: F.struct(x["field"], x["value"]))).alias("fields"))
 
 
