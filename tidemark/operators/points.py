@@ -186,8 +186,8 @@ def field_maps(points: DataFrame, text: Column, apart: tuple[str, ...] = ()) ->
     return told.select("key", "ts_ns", F.map_from_entries(F.transform("f", lambda x: F.struct(x["field"], x["value"]))).alias("fields"))
 
 
-def lines(points: DataFrame, text: Column) -> DataFrame:
-    """One text line for each key and time: key, fields in order of name, time."""
-    told = points.groupBy("key", "ts_ns").agg(_fields_of(points, text).alias("f"))
+def lines(points: DataFrame, text: Column, apart: tuple[str, ...] = ()) -> DataFrame:
+    """One text line for each key and time: key, fields in order of name, time; ``apart`` as in :func:`field_maps`."""
+    told = points.groupBy("key", "ts_ns", *apart).agg(_fields_of(points, text).alias("f"))
     fields = F.array_join(F.transform("f", lambda x: F.concat(x["field"], F.lit("="), x["value"])), ",")
     return told.select("key", "ts_ns", F.concat_ws(" ", "key", fields, F.col("ts_ns").cast("string")).alias("line"))
