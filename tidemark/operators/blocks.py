@@ -7,29 +7,36 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import scale_of, zigzag
 from ..model import BLOCK_POINTS, DAY_NS, PACKED_MAX, SCALE_MAX
+from .spread import dealt
 
 SERIES = ["key", "field"]
 
 
-def numbered(points: DataFrame, by: list[str] = SERIES, at: str = "ts_ns", bucket_ns: int = DAY_NS) -> DataFrame:
+def bucket_of(at: str = "ts_ns", bucket_ns: int = DAY_NS) -> Column:
+    """The bucket of a time."""
+    return F.expr(f"floor({at} / {bucket_ns}D)")
+
+
+def numbered(points: DataFrame, by: list[str] = SERIES, at: str = "ts_ns", bucket_ns: int = DAY_NS, tasks: int | None = None) -> DataFrame:
     """Number each series field's points in time order, from 0, as ``place``; those of one time by ``seq``.
 
     Rows are numbered within buckets of time, and each bucket starts after those
     before it, so a series with very many points is spread over its days and
-    only counts by bucket meet in one place.
+    only counts by bucket meet in one place.  With ``tasks`` rows and counts are
+    dealt to so many; points that have their ``bucket`` are not dealt again.
     """
     order = [at] + (["seq"] if "seq" in points.columns else [])
-    bucketed = points.withColumn("bucket", F.expr(f"floor({at} / {bucket_ns}D)"))
+    bucketed = points if "bucket" in points.columns else dealt(points.withColumn("bucket", bucket_of(at, bucket_ns)), tasks, *by, "bucket")
     counts = bucketed.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n_before"))
     before = F.sum("n_before").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*by, "bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    starts = dealt(counts, tasks, *by).select(*by, "bucket", F.coalesce(before, F.lit(0)).alias("start"))
     own = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(*order)) - 1
     return bucketed.withColumn("own", own).join(starts, [*by, "bucket"]).withColumn("place", F.col("start") + F.col("own")).drop("bucket", "own", "start")
 
 
-def with_blocks(points: DataFrame, size: int = BLOCK_POINTS) -> DataFrame:
-    """Cut each series field's points, in time order, into blocks of ``size``."""
-    return numbered(points).withColumn("block", F.floor(F.col("place") / size).cast("bigint")).drop("place")
+def with_blocks(points: DataFrame, size: int = BLOCK_POINTS, tasks: int | None = None) -> DataFrame:
+    """Cut each series field's points, in time order, into blocks of ``size``; ``tasks`` as in :func:`numbered`."""
+    return numbered(points, tasks=tasks).withColumn("block", F.floor(F.col("place") / size).cast("bigint")).drop("place")
 
 
 def _within(blocked: DataFrame):

@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from ..functions.values import lifecycle_ns, value_bytes
 from ..model import VALUE_COLUMNS
 from .ranges import bucket_array, classes_of, in_classes
+from .spread import dealt
 
 IDENTITY = ["key", "field", "ts_ns"]
 
 
-def last_write_wins(points: DataFrame) -> DataFrame:
+def last_write_wins(points: DataFrame, tasks: int | None = None) -> DataFrame:
     """The point with the greatest ``seq`` of each ``(key, field, ts_ns)``.
 
     Each column is aggregated by itself: what a reader does not select is not
     carried, and numbers stay in a hash aggregate with a partial one before the
     only shuffle.  ``seq`` must tell the writes of an identity apart, as a store's
-    does; of writes with an equal one, columns may come from either.
+    does; of writes with an equal one, columns may come from either.  With ``tasks``
+    points are dealt to so many before they are aggregated, by ``bucket`` where they
+    have one (a function of the time): no task that reads keeps its share.
     """
-    carried = [c for c in points.columns if c not in (*IDENTITY, "seq")]
-    return points.groupBy(*IDENTITY).agg(*(F.max_by(c, "seq").alias(c) for c in carried), F.max("seq").alias("seq")).select(*points.columns)
+    identity = [*IDENTITY, *(["bucket"] if "bucket" in points.columns else [])]
+    carried = [c for c in points.columns if c not in (*identity, "seq")]
+    points = dealt(points, tasks, "key", "field", identity[-1])
+    return points.groupBy(*identity).agg(*(F.max_by(c, "seq").alias(c) for c in carried), F.max("seq").alias("seq")).select(*points.columns)
 
 
 def overlay(older: DataFrame, newer: DataFrame) -> DataFrame:
@@ -67,9 +72,9 @@ def apply_tombstones(points: DataFrame, tombstones: DataFrame) -> DataFrame:
     return points.join(t, covered, "left_anti")
 
 
-def live(points: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """What a read sees: deletes applied, then the last write of each point."""
-    return last_write_wins(apply_tombstones(points, tombstones))
+def live(points: DataFrame, tombstones: DataFrame, tasks: int | None = None) -> DataFrame:
+    """What a read sees: deletes applied, then the last write of each point; ``tasks`` as in :func:`last_write_wins`."""
+    return last_write_wins(apply_tombstones(points, tombstones), tasks)
 
 
 def scan(points: DataFrame, key: str, field: str, ftype: str, lo: int, hi: int, ascending: bool = False, limit: int | None = None) -> DataFrame:
