@@ -9,7 +9,7 @@ from .test_queries import DATA, executed, same
 from .test_ties import expected
 
 
-@pytest.mark.parametrize("name", ["compact_result"])
+@pytest.mark.parametrize("name", ["compact_result", "ts_encoding_choice"])
 def test_tasks_follow_the_rows(spark, monkeypatch, name):
     monkeypatch.setattr(spread, "TASK_ROWS", 500)
     df = core.QUERIES[name](spark, DATA)

@@ -72,8 +72,9 @@ def file_stats(points: DataFrame, file: Column, deleted: DataFrame | None = None
     return stats.join(hit.select("file", F.lit(True).alias("has_tombstone")), "file", "left").withColumn("has_tombstone", F.coalesce("has_tombstone", F.lit(False)))
 
 
-def timestamp_encoding(blocked: DataFrame) -> DataFrame:
-    """The encoding of each block's times, with the deltas' scale: rle, packed or raw."""
+def timestamp_encoding(blocked: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The encoding of each block's times, with the deltas' scale: rle, packed or raw; blocks are dealt to ``tasks``."""
+    blocked = dealt(blocked.select(*SERIES, "block", "ts_ns", *(["seq"] if "seq" in blocked.columns else [])), tasks, *SERIES, "block")
     order = _within(blocked)
     spaced = blocked.withColumn("delta", F.col("ts_ns") - F.lag("ts_ns").over(order))
     scales = spaced.groupBy(*SERIES, "block").agg(
