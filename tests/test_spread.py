@@ -16,3 +16,10 @@ def test_tasks_follow_the_rows(spark, monkeypatch, name):
     plan = executed(df)
     assert "REPARTITION_BY_NUM" in plan and ", 12), REPARTITION_BY_NUM" in plan
     assert same(df.toPandas(), expected(DATA, name))
+
+
+def test_pairs_of_files_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(spread, "TASK_ROWS", 500)
+    df = core.gc_edge_weights(spark, DATA)
+    assert executed(df).count("REPARTITION_BY_NUM") >= 4
+    assert same(df.toPandas(), expected(DATA, "gc_edge_weights"))

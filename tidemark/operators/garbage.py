@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import LIFECYCLE_DAYS
+from .spread import dealt
 
 #: Bytes of a value record besides its key and block: header and checksum.
 RECORD_BYTES = 30 + 4
@@ -43,23 +44,33 @@ def collectable(files: DataFrame, ratio: float) -> DataFrame:
     return rows.where(F.col("discard") > ratio * F.col("size")).withColumn("valid", F.col("size") - F.col("discard"))
 
 
-def edge_weights(files: DataFrame, keys: DataFrame) -> DataFrame:
+def pairs_at_most(keys: DataFrame, tasks: int | None = None) -> int:
+    """How many pairs of rows of ``keys(file_id, key)`` have a key in common: no graph has more edges."""
+    counts = dealt(keys.select("key"), tasks, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return int(counts.agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)")).alias("pairs")).first()["pairs"] or 0)
+
+
+def edge_weights(files: DataFrame, keys: DataFrame, key_tasks: int | None = None, pair_tasks: int | None = None) -> DataFrame:
     """Weight of each two files with a key in common.
 
     ``files(file_id, size, valid)``, ``keys(file_id, key)``.  With ``r`` the valid
     share of both, ``J`` common and ``U`` all keys: ``(1 - r + J/U) / (1 + r - 1/U)``.
     A key's list has each file once, so its length is bounded by the files; the
-    graph itself has no more rows than pairs of files.
+    graph itself has no more rows than pairs of files.  With ``key_tasks`` and
+    ``pair_tasks`` keys and pairs are dealt to so many before they are aggregated or
+    joined, so that a task's share is bounded where their number follows the rows'.
     """
-    own = keys.select("file_id", "key").distinct()
+    own = dealt(keys.select("file_id", "key"), key_tasks, "key").distinct()
     counts = own.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     info = files.join(counts, "file_id").select("file_id", "size", "valid", "n")
     # Keys with the same files are counted together before their pairs are made.
     lists = own.groupBy("key").agg(F.sort_array(F.collect_list("file_id")).alias("files")).where(F.size("files") > 1).groupBy("files").agg(F.count(F.lit(1)).alias("n_keys"))
-    first = lists.select("n_keys", "files", F.posexplode("files").alias("at", "i"))
-    pairs = first.select("n_keys", "i", F.explode(F.expr("slice(files, at + 2, size(files))")).alias("j")).groupBy("i", "j").agg(F.sum("n_keys").alias("common"))
+    first = dealt(lists, pair_tasks, "files").select("n_keys", "files", F.posexplode("files").alias("at", "i"))
+    told = dealt(first.select("n_keys", "i", F.explode(F.expr("slice(files, at + 2, size(files))")).alias("j")), pair_tasks, "i", "j")
+    pairs = told.groupBy("i", "j").agg(F.sum("n_keys").alias("common"))
     named = lambda s: info.select(*(F.col(c).alias(f"{c}_{s}") for c in info.columns))
-    both = pairs.join(named("i"), F.col("i") == F.col("file_id_i")).join(named("j"), F.col("j") == F.col("file_id_j"))
+    half = dealt(pairs, pair_tasks, "i").join(named("i"), F.col("i") == F.col("file_id_i"))
+    both = dealt(half, pair_tasks, "j").join(named("j"), F.col("j") == F.col("file_id_j"))
     union = F.col("n_i") + F.col("n_j") - F.col("common")
     r = (F.col("valid_i") + F.col("valid_j")) / (F.col("size_i") + F.col("size_j"))
     return both.select("i", "j", "common", union.alias("all"), ((1 - r + F.col("common") / union) / (1 + r - 1 / union)).alias("weight"))
