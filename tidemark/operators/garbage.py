@@ -76,16 +76,17 @@ def edge_weights(files: DataFrame, keys: DataFrame, key_tasks: int | None = None
     return both.select("i", "j", "common", union.alias("all"), ((1 - r + F.col("common") / union) / (1 + r - 1 / union)).alias("weight"))
 
 
-def heaviest(edges: DataFrame, budget: int) -> DataFrame:
+def heaviest(edges: DataFrame, budget: int, tasks: int | None = None) -> DataFrame:
     """Of ``edges(i, j, weight)`` those that :func:`component` may follow: the ``budget`` heaviest of each file.
 
     A part of at most ``budget`` files has fewer than ``budget`` neighbours of a file
     inside, so its best way out of that file is among these.  As many rows as files
-    times ``budget`` at most.
+    times ``budget`` at most.  With ``tasks`` the ends are dealt to so many before
+    they are sorted.
     """
     ends = F.array(F.col("i"), F.col("j"))
     order = Window.partitionBy("file").orderBy(F.col("weight").desc(), "i", "j")
-    ranked = edges.select("i", "j", "weight", F.explode(ends).alias("file")).withColumn("nth", F.row_number().over(order))
+    ranked = dealt(edges.select("i", "j", "weight", F.explode(ends).alias("file")), tasks, "file").withColumn("nth", F.row_number().over(order))
     return ranked.where(F.col("nth") <= budget).select("i", "j", "weight").distinct()
 
 
